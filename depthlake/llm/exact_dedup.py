@@ -153,19 +153,20 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, in_history."""
+    # copies are told apart before the join: a window above it would keep Spark from splitting a hot digest
     same = Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))
     return (
         digests_of(docs)
-        .join(duplicate_groups(docs), "digest")
         .withColumn("copy", F.row_number().over(same))
+        .join(duplicate_groups(docs), "digest")
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "in_history")
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns."""
-    marked = docs.withColumn("digest", F.unhex(F.sha2(text_of(), 256)))
-    winners = duplicate_groups(docs).select("digest", "keep_id")
-    same = Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))
-    kept = marked.join(winners, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("copy", F.row_number().over(same))
-    return kept.where("copy = 1").select(*docs.columns)
+    place = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
+    rows = docs.select(F.unhex(F.sha2(text_of(), 256)).alias("digest"), place("doc_id").alias("place"), F.struct("*").alias("row"))
+    winners = duplicate_groups(docs).select("digest", place("keep_id").alias("place"))
+    same = Window.partitionBy("digest", "place").orderBy(F.lit(1))
+    return rows.join(winners, ["digest", "place"]).withColumn("copy", F.row_number().over(same)).where("copy = 1").select("row.*")

@@ -7,17 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .packing import packed_pieces
+from .quality import quality_scores
+from .secret_scan import secret_digest
 from .shared import read_documents
 from .token_files import read_token_files, token_digest, write_token_files
+from .toxicity import toxicity_scores
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(read_documents(spark, sf_dir), BYTE_VOCABULARY)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(read_documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_token_files(read_documents(spark, sf_dir), WORD_VOCABULARY, keeps_spaces=False)
     return token_digest(read_token_files(spark, path))
@@ -28,7 +47,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op5_packing": op5_packing,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
