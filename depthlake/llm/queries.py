@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digest
 from .exact_dedup import exact_dedup
 from .packing import packed_pieces
 from .quality import quality_scores
@@ -47,6 +48,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(read_token_files(spark, path))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(read_documents(spark, sf_dir), BYTE_VOCABULARY)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
+    "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -9,7 +9,7 @@ from .shared import ChunkEncoder, byte_letters, cut_at_white_space, cut_before_s
 
 # Letters that are one code point each in lower case and in NFC; marks that no contraction or special token holds.
 LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-MARKS = r"!#$%&()*+,./:;=?@\[\]^_{}~\\-"
+MARKS = r"!#$%&()*+,./:;=?@\[\]^_{}~\\\-"
 #: A chunk that is a word, with a space before it, and marks after it; or marks alone. Its parts are what pre-tokenizers cut.
 SIMPLE = re.compile(f"( ?[{LETTERS}]+)?((?(1)| ?)[{MARKS}|]*)")
 
@@ -17,7 +17,7 @@ SIMPLE = re.compile(f"( ?[{LETTERS}]+)?((?(1)| ?)[{MARKS}|]*)")
 class Words:
     """ids of chunks from a tokenizers file; simple chunks go part by part to its model, all others whole to encode_batch."""
 
-    def __init__(self, path: str, lower: bool, most: int = 600_000):
+    def __init__(self, path: str, lower: bool, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
