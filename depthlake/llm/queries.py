@@ -12,6 +12,7 @@ from .quality import quality_scores
 from .secret_scan import secret_digest
 from .shared import read_documents
 from .simhash import near_duplicates
+from .syncmers import edited_fingerprints
 from .token_files import read_token_files, token_digest, write_token_files
 from .toxicity import toxicity_scores
 
@@ -27,6 +28,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir))
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
 
@@ -58,6 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_syncmers": op2_syncmers,
     "op3_quality": op3_quality,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
