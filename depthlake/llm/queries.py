@@ -12,6 +12,7 @@ from .quality import quality_scores
 from .secret_scan import secret_digest
 from .shared import read_documents
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .syncmers import edited_fingerprints
 from .token_files import read_token_files, token_digest, write_token_files
 from .toxicity import toxicity_scores
@@ -36,6 +37,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(read_documents(spark, sf_dir), BYTE_VOCABULARY)
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_syncmers": op2_syncmers,
     "op3_quality": op3_quality,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_toxicity": op7_toxicity,
