@@ -87,7 +87,6 @@ def _build_shard(key, group: pd.DataFrame) -> pd.DataFrame:
     slots = find_slots(bits, sizes, digests)
     order = np.empty(len(slots), np.int64)
     order[slots] = np.arange(len(slots))
-    # winners are text in transit, so that pandas never turns a null into a float
     row = (int(key[0]), np.packbits(bits).tobytes(), sizes.tobytes(), digests[order].tobytes(), _ids(group.winner)[order].tobytes(), group.n.to_numpy(np.int64)[order].tobytes())
     return pd.DataFrame([row], columns=["shard", "levels", "sizes", "digests", "winners", "counts"])
 

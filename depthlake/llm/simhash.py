@@ -25,8 +25,6 @@ from .shared import filled, saved, text_of
 RADIUS, WORDS, SEED = 3, 3, 42
 #: Nodes that own a half, beyond which whole variants take over.
 HOT = 24
-#: A null doc_id's place in joins.
-NO_ID = -(1 << 63)
 MASK = (1 << 32) - 1
 
 
@@ -120,12 +118,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component: that with the smallest doc_id, with its columns. Of repeated rows one stays."""
-    place = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
+    """The documents that stay, one of each component: that with the smallest doc_id, with its columns. Of rows that share that doc_id the
+    first by text stays; rows with a null doc_id all stay, since nothing names them."""
     found = near_duplicates(docs)
-    # a component without any doc_id, and repeated rows, leave several candidates: the text, then chance among equal rows, decides
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(place("doc_id").alias("place"), "fingerprint").distinct()
-    rows = docs.select(place("doc_id").alias("place"), F.struct("*").alias("row"), text_of().alias("text"))
+    place = F.col("doc_id").cast("long").alias("place")
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(place).distinct()
+    rows = docs.select(place, F.struct("*").alias("row"), text_of().alias("text"))
     same = Window.partitionBy("place").orderBy("text")
-    kept = rows.join(best.groupBy("place").agg(F.count(F.lit(1)).alias("n")), "place").withColumn("copy", F.row_number().over(same))
-    return kept.where("copy = 1").select("row.*")
+    named = rows.join(stay, "place").withColumn("copy", F.row_number().over(same)).where("copy = 1").select("row.*")
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
