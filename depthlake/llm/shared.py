@@ -96,7 +96,7 @@ class ChunkEncoder:
     which memory is cleared, so that it stays bounded whatever the corpus.
     """
 
-    def __init__(self, cut, encode_new, most: int = 1_200_000):
+    def __init__(self, cut, encode_new, most: int = 400_000):
         self.cut, self.encode_new, self.most = cut, encode_new, most
         self.clear()
 
@@ -139,7 +139,7 @@ class ChunkEncoder:
         return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def slices(texts: pa.Array, most_bytes: int = 16 << 20):
+def slices(texts: pa.Array, most_bytes: int = 4 << 20):
     """Runs of rows with about most_bytes of text, as (first row, rows); a longer text has a run of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
     first = 0
