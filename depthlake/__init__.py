@@ -1,0 +1 @@
+"""Order-book and market-data analytics as Spark DataFrame plans."""
