@@ -79,5 +79,11 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-#: Rows equal the queries' own, but for the columns that only the method has, which the queries leave out of the comparison.
-ORACLE_SQL = {}
+#: The other operators hold hashes, models, tokenizers or windows over all bytes, which SQL can't express or is too slow for; they are tested against brute force.
+ORACLE_SQL = {
+    "op10_exact_dedup": """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
+m AS (SELECT (min(doc_id) + max(doc_id)) // 2 AS mid FROM documents),
+g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size, min(doc_id) AS first_id FROM d GROUP BY h)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256, first_id <= mid AS in_history FROM d JOIN g USING (h), m""",
+}
