@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .book import by_price, level_rows, with_ranks
-from .chunks import chunked_dataset
+from .chunks import chunked_dataset, trim_to_snapshot
 from .scan import running, with_previous
 
 #: Levels of a side in the checksum text, and the longest silence of an uninterrupted feed.
@@ -78,7 +78,10 @@ def replayed_text(books: DataFrame, chunk_size: int = 10_000, levels: int = LEVE
         return pd.DataFrame(out, columns=["instId", "timestamp", "text"])
 
     parts = chunked_dataset(books, chunk_size, keep_tail=True, on_missing="drop")
-    return parts.groupBy("instId", "part").applyInPandas(replay, "instId string, timestamp bigint, text string")
+    found = parts.groupBy("instId", "part").applyInPandas(replay, "instId string, timestamp bigint, text string")
+    # a part that begins with an empty book has no row for its first timestamp
+    trimmed = trim_to_snapshot(books, on_missing="drop").select("instId", "timestamp").distinct()
+    return trimmed.join(found, ["instId", "timestamp"], "left").select("instId", "timestamp", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def checksum_report(books: DataFrame, chunk_size: int = 10_000, levels: int = LEVELS) -> DataFrame:

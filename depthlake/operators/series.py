@@ -115,13 +115,14 @@ def price_change_intervals(series: DataFrame, minutes: int = 5, change: float =
     # each mean goes to the frames that hold it; a frame is one group
     spread = means.select("series_id", "minute", "val", F.explode(F.sequence(F.col("minute") - minutes, F.col("minute"))).alias("start_minute"))
     ends = means.groupBy("series_id").agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
-    frames = spread.groupBy("series_id", "start_minute").agg(F.min("val").alias("low"), F.max("val").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.col("minute") == F.col("start_minute")).alias("begins"))
-    frames = frames.join(ends, "series_id").where((F.col("start_minute") >= F.col("first")) & (F.col("start_minute") + minutes <= F.col("last")))
-    whole = F.col("n") == minutes + 1
-    if on_gap == "raise":
-        whole = F.when(whole, True).otherwise(F.raise_error(F.format_string("a minute is missing after %d", F.col("start_minute"))).cast("boolean"))
-    val = (F.col("high") - F.col("low")) / F.col("low")
-    return frames.where(whole).select("series_id", "start_minute", (F.col("start_minute") + minutes).alias("end_minute"), val.alias("val")).where(F.abs("val") > change)
+    frames = spread.groupBy("series_id", "start_minute").agg(F.min("val").alias("low"), F.max("val").alias("high"), F.count(F.lit(1)).alias("n"))
+    frames = frames.join(ends, "series_id")
+    inside = (F.col("start_minute") >= F.col("first")) & (F.col("start_minute") + minutes <= F.col("last"))
+    missing = F.raise_error(F.format_string("a minute is missing after %d", F.col("start_minute"))).cast("boolean")
+    # one condition: apart, the error could be tested before the frame's place is
+    whole = F.when(~inside, False).when(F.col("n") == minutes + 1, True).otherwise(missing if on_gap == "raise" else F.lit(False))
+    val = F.when(whole, (F.col("high") - F.col("low")) / F.col("low"))
+    return frames.select("series_id", "start_minute", (F.col("start_minute") + minutes).alias("end_minute"), val.alias("val")).where(F.abs("val") > change)
 
 
 def _as_ms(at) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.chunks import chunked_dataset
+from ..operators.book import with_ranks
+from ..operators.chunks import chunked_dataset, trim_to_snapshot
 
 STATE = "sides array<string>, prices array<double>, sizes array<double>, orders array<bigint>, timestamp bigint"
 TOP = "instId string, timestamp bigint, side string, lvl int, price double, size double, numOrders bigint"
@@ -79,7 +80,10 @@ def _write_step(rows: DataFrame, path: str, number: int, chunk_size: int, last:
     if not last:
         # a checkpoint's rows have no seq: they come before all others of their timestamp
         left = marked.where("part = final").select("instId", "timestamp", F.coalesce("seq", F.lit(-1)).alias("seq"), "side", "price", "size", "numOrders", "action")
-        left.write.mode("overwrite").parquet(f"{path}/open/{number}")
+        # the removal of a level that isn't there marks the first timestamp, should its book be empty
+        open_from = with_ranks(trim_to_snapshot(rows, "drop")).where((F.col("rank") - 1) % chunk_size == 0).groupBy("instId").agg(F.max("timestamp").alias("timestamp"))
+        marks = open_from.select("instId", "timestamp", F.lit(-2).cast("long").alias("seq"), F.lit("ask").alias("side"), F.lit(0.0).alias("price"), F.lit(0.0).alias("size"), F.lit(0).cast("long").alias("numOrders"), F.lit("snapshot").alias("action"))
+        left.unionByName(marks).write.mode("overwrite").parquet(f"{path}/open/{number}")
 
 
 def close_chunks(spark, path: str, number: int, chunk_size: int) -> None:
