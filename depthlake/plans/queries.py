@@ -12,6 +12,7 @@ from ..functions.names import inst_of, parse_file_name
 from ..operators import book, checksum, chunks, delta, indicators, series
 from ..schemas import BOOKS_RAW
 from ..sources import datasets, ingest, points
+from ..sources.scratch import scratch
 from ..streaming import books as streams
 from . import views as v
 from .views import BOOKS_SQL, CONTRACTS_SQL, END, GRID_SQL, INTERVALS_SQL, NAMES_SQL, POINTS_SQL, PRICE_SQL, SERIES_SQL, START, STEP
@@ -181,7 +182,7 @@ def chunked_dataset(spark, sf_dir):
 @query(f"""WITH {_PARTS} SELECT "instId", part, min("timestamp") AS min_timestamp, max("timestamp") AS max_timestamp, count(*) AS rows FROM pt GROUP BY ALL""")
 def part_catalog(spark, sf_dir):
     """The catalog, from parts that were written and read back."""
-    path = v.scratch(spark, "parts")
+    path = scratch(spark, "parts")
     datasets.write_parts(chunks.chunked_dataset(v.book_events(spark, sf_dir), CHUNK, on_missing="drop"), path)
     return spark.read.parquet(f"{path}/catalog")
 
@@ -279,7 +280,7 @@ def read_messages(spark, sf_dir):
     first = F.get("message.data", 0)
     day = F.floor(first.ts.cast("long") / 86_400_000)
     files = m.groupBy(first.instId.alias("inst"), day.alias("day")).agg(F.to_json(F.struct(F.collect_list("message").alias("data"))).alias("value"))
-    path = v.scratch(spark, "dumps")
+    path = scratch(spark, "dumps")
     files.write.partitionBy("inst", "day").text(path)
     read = ingest.read_messages(spark, path, "trades", glob="*.txt", recursive=True)
     return ingest.flatten_trades(read).select("instId", "timestamp", "tradeId")
@@ -374,7 +375,7 @@ def _with_stated_checksums(spark, sf_dir):
 @query()
 def checksum_report(spark, sf_dir):
     """SQL of the comparison engine has no CRC-32: the counts are tested against a replay."""
-    path = v.scratch(spark, "stated")
+    path = scratch(spark, "stated")
     _with_stated_checksums(spark, sf_dir).write.parquet(path)
     return checksum.checksum_report(spark.read.parquet(path), chunk_size=500)
 
@@ -469,7 +470,7 @@ _POINTS = f"""tvs AS ({ORACLE_SQL["tv"]}), pp AS (SELECT 'TV' AS measurement, 'O
 @query(f"WITH {_POINTS} SELECT * FROM pp")
 def indicator_points(spark, sf_dir):
     """Points written by measurement and read back; times in milliseconds here."""
-    path = v.scratch(spark, "points")
+    path = scratch(spark, "points")
     points.write_points(_points(spark, sf_dir), path)
     return spark.read.parquet(path).withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
 
@@ -500,7 +501,7 @@ def _stream(spark, sf_dir):
 @query()
 def stream_book(spark, sf_dir):
     """The best levels after each micro-batch of a stream over the events; tested against the batch book."""
-    out = v.scratch(spark, "stream-book")
+    out = scratch(spark, "stream-book")
     stream = streams.stream_book(_stream(spark, sf_dir), N)
     stream.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows", "parquet", "append").awaitTermination()
     return spark.read.schema(streams.TOP).parquet(f"{out}/rows")
@@ -509,7 +510,7 @@ def stream_book(spark, sf_dir):
 @query(f"WITH {_PARTS} SELECT * FROM pt")
 def stream_chunks(spark, sf_dir):
     """Chunks of a stream over the events, closed as they fill, and flushed at its end."""
-    out = v.scratch(spark, "stream-chunks")
+    out = scratch(spark, "stream-chunks")
     run = streams.stream_chunks(_stream(spark, sf_dir), out, CHUNK, f"{out}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     streams.close_chunks(spark, out, run.lastProgress["batchId"], CHUNK)

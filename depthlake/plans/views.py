@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,13 +145,3 @@ def messages(spark: SparkSession, sf_dir: str, channel: str) -> DataFrame:
         written = e.select(F.lit(channel).alias("file"), n.alias("n"), F.to_json(shapes[channel]).alias("j"))
     return written.select("file", "n", F.from_json("j", MESSAGES[channel]).alias("message"))
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path beside the session's checkpoints, which driver and executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='depthlake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
