@@ -24,10 +24,17 @@ def check_grid(start: int, end: int, step: int, n_levels: int | None = None, sid
         raise ValueError(f"no such side: {side}")
 
 
+DAY = 86_400_000
+
+
 def snapshot_times(books: DataFrame, *more: str) -> DataFrame:
-    """(instId, snaps): per instrument the sorted timestamps, with more columns, of groups whose first row is a snapshot."""
-    groups = books.groupBy("instId", "timestamp", *more).agg(F.min_by("action", "seq").alias("action")).where("action = 'snapshot'")
-    return groups.groupBy("instId").agg(F.sort_array(F.collect_list(F.struct("timestamp", *more))).alias("snaps"))
+    """(instId, day, snaps, later): for every day with rows, the sorted timestamps, with more columns, of groups whose first row is a snapshot,
+    and the first such of a later day."""
+    day = F.floor(F.col("timestamp") / DAY).alias("day")
+    groups = books.groupBy("instId", "timestamp", *more).agg(F.min_by("action", "seq").alias("action"))
+    days = groups.groupBy("instId", day).agg(F.sort_array(F.collect_list(F.when(F.col("action") == "snapshot", F.struct("timestamp", *more)))).alias("snaps"))
+    following = Window.partitionBy("instId").orderBy("day").rowsBetween(1, Window.unboundedFollowing)
+    return days.withColumn("later", F.min(F.get("snaps", 0)).over(following))
 
 
 def level_rows(books: DataFrame, on_snapshot: str = "replace", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -38,9 +45,9 @@ def level_rows(books: DataFrame, on_snapshot: str = "replace", carry: tuple[str,
     following = books.withColumn("_next", F.lead(F.struct("timestamp", *carry)).over(over))
     if on_snapshot == "upsert":
         return following.withColumnRenamed("_next", "until")
-    cleared = following.join(snapshot_times(books, *carry), "instId", "left")
-    later = F.expr("get(filter(snaps, s -> s.timestamp > timestamp), 0)")
-    return cleared.withColumn("until", F.least("_next", later)).drop("_next", "snaps")
+    cleared = following.withColumn("day", F.floor(F.col("timestamp") / DAY)).join(snapshot_times(books, *carry), ["instId", "day"])
+    clearing = F.expr("coalesce(get(filter(snaps, s -> s.timestamp > timestamp), 0), later)")
+    return cleared.withColumn("until", F.least("_next", clearing)).drop("_next", "snaps", "later", "day")
 
 
 def level_intervals(books: DataFrame, on_snapshot: str = "replace") -> DataFrame:
