@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,19 +66,21 @@ def replayed_text(books: DataFrame, chunk_size: int = 10_000, levels: int = LEVE
     def replay(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["timestamp", "seq"], na_position="first")
         book: dict[str, dict[str, str]] = {"ask": {}, "bid": {}}
-        out = []
-        for timestamp, group in part.groupby("timestamp", sort=True):
-            if group.action.iloc[0] == "snapshot":
+        times, texts = part.timestamp.tolist(), []
+        rows = list(zip(times, part.action, part.side, part.price, part["size"], times[1:] + [None]))
+        begins = True
+        for timestamp, action, side, price, size, following in rows:
+            if begins and action == "snapshot":
                 book = {"ask": {}, "bid": {}}
-            for side, price, size in zip(group.side, group.price, group["size"]):
-                if float(size) == 0:
-                    book[side].pop(price, None)
-                else:
-                    book[side][price] = size
-            sides = [sorted(book["bid"], key=float, reverse=True)[:levels], sorted(book["ask"], key=float)[:levels]]
-            text = [f"{p}:{book[s][p]}" for i in range(levels) for s, own in zip(("bid", "ask"), sides) for p in own[i : i + 1]]
-            out.append((part.instId.iloc[0], timestamp, ":".join(text)))
-        return pd.DataFrame(out, columns=["instId", "timestamp", "text"])
+            if float(size) == 0:
+                book[side].pop(price, None)
+            else:
+                book[side][price] = size
+            begins = following != timestamp
+            if begins:
+                best = [[f"{p}:{book['bid'][p]}" for p in heapq.nlargest(levels, book["bid"], key=float)], [f"{p}:{book['ask'][p]}" for p in heapq.nsmallest(levels, book["ask"], key=float)]]
+                texts.append((timestamp, ":".join(x for pair in itertools.zip_longest(*best) for x in pair if x)))
+        return pd.DataFrame({"instId": part.instId.iloc[0], "timestamp": [t for t, _ in texts], "text": [x for _, x in texts]})
 
     parts = chunked_dataset(books, chunk_size, keep_tail=True, on_missing="drop")
     found = parts.groupBy("instId", "part").applyInPandas(replay, "instId string, timestamp bigint, text string")
