@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contracts as contract
-from ..functions.names import inst_of, parse_file_name
+from ..functions import names
+from ..functions.names import inst_of
 from ..operators import book, checksum, chunks, delta, indicators, series
 from ..schemas import BOOKS_RAW
 from ..sources import datasets, ingest, points
@@ -287,19 +288,19 @@ def read_messages(spark, sf_dir):
 
 
 @query(f"""WITH {NAMES_SQL} SELECT 'OKX' AS exchange, source AS "dataSource", ds AS "dsID", CAST(n AS VARCHAR) AS "startTimestamp", CAST(n + 60 AS VARCHAR) AS "endTimestamp", regexp_replace(ds, '-400$', '') AS "instId" FROM nm""")
-def parse_file_names(spark, sf_dir):
-    parsed = v.file_names(spark, sf_dir).select(parse_file_name(F.col("name")).alias("m")).select("m.*")
+def parse_file_name(spark, sf_dir):
+    parsed = v.file_names(spark, sf_dir).select(names.parse_file_name(F.col("name")).alias("m")).select("m.*")
     return parsed.withColumn("instId", inst_of(F.col("dsID")))
 
 
 @query(f"""WITH {NAMES_SQL} SELECT 'OKX' AS exchange, source AS "dataSource", ds AS "dsID", CAST(n AS VARCHAR) AS "startTimestamp", CAST(n + 60 AS VARCHAR) AS "endTimestamp" FROM nm WHERE source = 'Books'""")
 def file_meta(spark, sf_dir):
-    return v.file_names(spark, sf_dir).select(parse_file_name(F.col("name")).alias("m")).select("m.*").where("dataSource = 'Books'")
+    return v.file_names(spark, sf_dir).select(names.parse_file_name(F.col("name")).alias("m")).select("m.*").where("dataSource = 'Books'")
 
 
 @query(f"""WITH {NAMES_SQL} SELECT ds AS "dsID", string_agg(n || '', ',' ORDER BY n) AS starts FROM nm GROUP BY 1""")
 def files_per_dataset(spark, sf_dir):
-    files = v.file_names(spark, sf_dir).select(F.col("name").alias("filePath"), parse_file_name(F.col("name")).alias("m")).select("filePath", "m.*")
+    files = v.file_names(spark, sf_dir).select(F.col("name").alias("filePath"), names.parse_file_name(F.col("name")).alias("m")).select("filePath", "m.*")
     starts = F.array_join(F.transform("files", lambda f: F.element_at(F.split(f, "-"), -2)), ",")
     return ingest.files_per_dataset(files).select("dsID", starts.alias("starts"))
 
@@ -309,7 +310,7 @@ def files_per_dataset(spark, sf_dir):
 
 @query(f"""WITH {NAMES_SQL} SELECT ds AS "dsID", regexp_matches(regexp_replace(ds, '-400$', ''), '^[^-]+-[^-]+-[0-9]+-[^-]+$') AS dated, regexp_matches(ds || '-X', '^[^-]+-[^-]+-[0-9]+-[^-]+$') AS dated_x FROM (SELECT DISTINCT ds FROM nm)""")
 def is_dated_future(spark, sf_dir):
-    ids = v.file_names(spark, sf_dir).select(parse_file_name(F.col("name")).dsID.alias("dsID")).distinct()
+    ids = v.file_names(spark, sf_dir).select(names.parse_file_name(F.col("name")).dsID.alias("dsID")).distinct()
     return ids.select("dsID", contract.is_dated_future(inst_of(F.col("dsID"))).alias("dated"), contract.is_dated_future(F.concat("dsID", F.lit("-X"))).alias("dated_x"))
 
 
