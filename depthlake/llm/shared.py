@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -22,19 +22,10 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='depthlake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
@@ -78,8 +69,11 @@ def cut_before_spaces(texts: pa.Array) -> pa.ListArray:
 
 
 def cut_at_white_space(texts: pa.Array) -> pa.ListArray:
-    """Each text as chunks without ASCII white space, for tokenizers that drop white space."""
-    return pc.ascii_split_whitespace(texts)
+    """Each text as chunks without ASCII white space, for tokenizers that drop white space and lower-case letters.
+
+    A-Z are lower-cased at once, which leaves fewer distinct chunks, but in texts where that could make up a special token.
+    """
+    return pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
 
 
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -10,15 +10,15 @@ one place each, ordered by text; an empty table writes an empty file; other colu
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import filled, partitions, shared_dir, slices
+from ..sources.scratch import scratch
+from .shared import filled, partitions, slices
 from .vocabularies import encoder
 
 SCHEMA = "doc_id long, part int, file_start long, n_tokens int, ids array<int>"
@@ -53,7 +53,7 @@ def _encoded(path: str, keeps_spaces: bool):
 def write_token_files(docs: DataFrame, vocabulary: str, keeps_spaces: bool, path: str | None = None) -> str:
     """Writes the files and returns their folder."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "token-files")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(_encoded(vocabulary, keeps_spaces), SCHEMA)
@@ -74,9 +74,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SCHEMA).parquet(path)
     # one row per file: bounded by the number of files, not of documents
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = F.expr("aggregate(filter(files, f -> f.part < part), 0L, (s, f) -> s + f.total)")
-    listed = totals.agg(F.collect_list(F.struct("part", "total")).alias("files"))
-    bases = totals.crossJoin(F.broadcast(listed)).select("part", before.alias("base"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
     return files.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
