@@ -26,7 +26,7 @@ def test_query(spark, name):
     with duckdb.connect() as db:
         for t in ("events",):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-        known = db.execute(ORACLE_SQL[name]).fetch_arrow_table()
+        known = db.sql(ORACLE_SQL[name]).arrow().read_all()
     assert sorted(known.column_names) == columns
     assert rows(table) == rows(known.select(columns))
 
