@@ -264,21 +264,26 @@ def runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _sorted_bucket(batches):
     """Repeats inside a bucket whose rows are sorted by gram; the windows of its first and last gram are given out with their hashes."""
 
-    def local(rows: list[dict]) -> pa.RecordBatch:
+    def compared(rows: list[dict]):
+        """The windows of rows sorted: their documents and starts, words, and the places of repeats among them."""
         gram, doc, low, high, begin = (np.array([x[k] for x in rows], np.int64) for k in ("gram", "doc", "low", "high", "begin"))
         owner, start, words = windows_of(low, high, begin, [x["bytes"] for x in rows])
-        same = multikey_groups(np.unique(gram, return_inverse=True)[1][owner], words)
+        doc, same = doc[owner], multikey_groups(np.unique(gram, return_inverse=True)[1][owner], words)
         hit = np.flatnonzero(same >= 0)
-        hit = hit[np.lexsort((start[hit], doc[owner[hit]], same[hit]))]
-        later = hit[1:][same[hit[1:]] == same[hit[:-1]]]
-        return _found(*runs(doc[owner[later]], start[later]))
+        hit = hit[np.lexsort((start[hit], doc[hit], same[hit]))]
+        return doc, start, words, hit[1:][same[hit[1:]] == same[hit[:-1]]]
+
+    def local(rows: list[dict]) -> pa.RecordBatch:
+        doc, start, _, later = compared(rows)
+        return _found(*runs(doc[later], start[later]))
 
     def across(rows: list[dict]):
+        """Repeats are settled here too; only the first of equal windows goes on to be compared with other buckets."""
         for i in range(0, len(rows), ROWS_AT_ONCE):
-            part = rows[i : i + ROWS_AT_ONCE]
-            doc, low, high, begin = (np.array([x[k] for x in part], np.int64) for k in ("doc", "low", "high", "begin"))
-            owner, start, words = windows_of(low, high, begin, [x["bytes"] for x in part])
-            yield _found(doc[owner], start, start, *hashes_of(words))
+            doc, start, words, later = compared(rows[i : i + ROWS_AT_ONCE])
+            yield _found(*runs(doc[later], start[later]))
+            first = np.delete(np.arange(len(doc)), later)
+            yield _found(doc[first], start[first], start[first], *hashes_of(words[first]))
 
     # a gram is compared across boundaries if it is the bucket's first or last, or hot: none of it is kept here
     gram, run, waiting, across_too = None, [], [], True
