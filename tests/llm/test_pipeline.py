@@ -1,10 +1,10 @@
 """The pipeline's stages, one after the other."""
 
-import pytest
+import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 
 from depthlake.llm.queries import QUERIES
 
-pipeline = pytest.importorskip("corpus_pipeline")
 DATA = "/root/testdata/sf0.001"
 
 
@@ -17,7 +17,8 @@ def test_stages(spark):
         new = spark.createDataFrame(new.collect(), docs.schema)
         assert 0 < new.count() <= kept and new.join(docs, "doc_id", "left_anti").count() == 0
         docs, kept = new, new.count()
-    pieces = pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert pieces.select("doc_id").distinct().count() == kept
-    assert pipeline.run(spark, DATA).count() == pieces.count()
+    # how documents are cut depends on what a task holds; their ids don't
+    ids = lambda pieces: {r.doc_id: r.n for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    pieces = ids(pipeline.STAGES[-1][1](spark, docs, DATA))
+    assert len(pieces) == kept and ids(pipeline.run(spark, DATA)) == pieces
     assert len(QUERIES) == 10
