@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from depthlake.llm.exact_dedup import drop_exact_copies
+from depthlake.llm.near_copies import drop_near_copies
 from depthlake.llm.packing import packed_pieces
 from depthlake.llm.quality import drop_low_quality
 from depthlake.llm.queries import BYTE_VOCABULARY, read_labels
 from depthlake.llm.secret_scan import mask_secrets
 from depthlake.llm.shared import read_documents, saved
-from depthlake.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
+    """One document of each group of near copies (Jaccard of five-word shingles 0.8 or more): that with the smallest doc_id."""
     return drop_near_copies(docs)
 
 
