@@ -1,9 +1,9 @@
 """Document fingerprints from closed syncmers, with DataFrame functions alone.
 
-A text is a sequence of units: words, or code points if it has fewer than FEW of them. Every K-mer of units has K - S + 1 inner S-mers; it is an anchor if the
-smallest hash among them is the first or the last. That depends on nothing outside the K-mer, so an edit moves no anchor that it does not touch. The
-fingerprint holds the SKETCH smallest distinct anchor hashes, 32 bits each as 8 hex digits, in order. The likeness of two fingerprints is the Dice
-coefficient of the anchors, estimated from the smallest hashes of both together.
+A text is a sequence of units: words, with words of more than LONG code points cut into code points; or code points alone if it has fewer than FEW of them. Every K-mer of units has
+K - S + 1 inner S-mers; it is an anchor if the smallest hash among them is the first or the last. That depends on nothing outside the K-mer, so an edit moves no anchor that it does not touch.
+Anchors are 32-bit hashes with the place of their K-mer. The likeness of two texts is the Dice coefficient of all their distinct anchors; where one of the two has fewer than FEW code points,
+both are cut into code points for it. The fingerprint column is a digest: the SKETCH smallest distinct hashes, 8 hex digits each, in order.
 
 The edited text of a document needs the next one's beginning. Documents are dealt to ranges of doc_id and each range also gets a copy of the next
 range's first document, so that lead() finds the next text inside a range; the bounds of the ranges, at most RANGES rows, are broadcast.
@@ -22,42 +22,55 @@ from .shared import text_of
 
 K, S = 5, 2
 FEW = 400
+#: Code points of a word beyond which it is cut into code points.
+LONG = 40
 SKETCH = 64
 #: Ranges of doc_id at most, and documents that a range should hold.
 RANGES, RANGE_ROWS = 100_000, 2_000
 
 
-def _anchors(df: DataFrame, text: str, to: str) -> DataFrame:
-    """df with the fingerprint of a text column as sorted hashes (array of longs) in column to."""
-    c, h, g, place = F.col, f"{to}_h", f"{to}_g", f"{to}_p"
-    words = F.filter(F.split(c(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    df = df.withColumn(h, words)
-    df = df.withColumn(h, F.transform(F.when(F.length(text) < FEW, F.split(c(text), "")).otherwise(c(h)), lambda w: F.xxhash64(w)))
+def few(text: str) -> Column:
+    """Whether a text's own units are code points."""
+    return F.length(text) < FEW
+
+
+def _anchors(df: DataFrame, text: str, to: str, points: Column | None = None) -> DataFrame:
+    """df with all anchors of a text column in column to: structs (hash, place), place the number of the K-mer's first unit; -1 for the whole text."""
+    c, h, g = F.col, f"{to}_h", f"{to}_g"
+    points = few(text) if points is None else points
+    df = df.withColumn(h, F.when(points, F.split(c(text), "")).otherwise(F.filter(F.split(c(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")))
+    cut = F.flatten(F.transform(c(h), lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
+    df = df.withColumn(h, F.when(F.exists(c(h), lambda w: F.length(w) > LONG), cut).otherwise(c(h)))
+    df = df.withColumn(h, F.transform(c(h), lambda w: F.xxhash64(w)))
     # inner 2-mers, then 5-mers: get() is null beyond the end, where no K-mer begins
     df = df.withColumn(g, F.transform(c(h), lambda x, i: F.xxhash64(x, F.get(c(h), i + 1))))
     kmer = lambda x, i: F.when(
-        F.least(x, F.get(c(g), i + 3)) <= F.least(F.get(c(g), i + 1), F.get(c(g), i + 2)), F.xxhash64(x, F.get(c(h), i + 2), F.get(c(g), i + 3)).bitwiseAND(F.lit(0xFFFFFFFF))
+        F.least(x, F.get(c(g), i + 3)) <= F.least(F.get(c(g), i + 1), F.get(c(g), i + 2)),
+        F.struct(F.xxhash64(x, F.get(c(h), i + 2), F.get(c(g), i + 3)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"), i.cast("int").alias("place")),
     )
     inner = F.slice(F.transform(c(g), kmer), 1, F.greatest(F.size(g) - (K - 1), F.lit(0)))
-    df = df.withColumn(place, F.array_sort(F.array_distinct(F.filter(inner, lambda x: x.isNotNull()))))
-    whole = F.array(F.xxhash64(c(text)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return df.withColumn(to, F.when(F.size(place) == 0, whole).otherwise(F.slice(place, 1, SKETCH))).drop(h, g, place)
+    df = df.withColumn(to, F.filter(inner, lambda x: x.isNotNull()))
+    whole = F.array(F.struct(F.xxhash64(c(text)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"), F.lit(-1).alias("place")))
+    return df.withColumn(to, F.when(F.size(to) == 0, whole).otherwise(c(to))).drop(h, g)
+
+
+def _distinct(places: str) -> Column:
+    return F.array_distinct(F.transform(F.col(places), lambda x: x.hash))
 
 
 def fingerprint_text(anchors: Column) -> Column:
-    return F.array_join(F.transform(anchors, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    """The SKETCH smallest of distinct hashes: a short digest, which no likeness is computed from."""
+    return F.array_join(F.transform(F.slice(F.array_sort(anchors), 1, SKETCH), lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The Dice coefficient of two fingerprints given as sorted hashes."""
-    smallest = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(smallest, a), b)).cast("double")
-    return 2 * shared / (F.size(smallest) + shared)
+    """The Dice coefficient of two sets of anchors, each an array of distinct hashes."""
+    return 2 * F.size(F.array_intersect(a, b)).cast("double") / (F.size(a) + F.size(b))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column anchors, the sorted hashes of the text's fingerprint."""
-    return _anchors(docs, text, "anchors")
+    """docs with the columns places, all anchors of the text in its order as structs (hash, place), and anchors, their distinct hashes, sorted."""
+    return _anchors(docs, text, "places").withColumn("anchors", F.array_sort(_distinct("places")))
 
 
 def with_next(docs: DataFrame, *columns: str) -> DataFrame:
@@ -81,17 +94,23 @@ def with_next(docs: DataFrame, *columns: str) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    own = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
-    pairs = with_next(own, "text", "anchors").withColumn("n_chars", F.length("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    pairs = with_next(own, "text").withColumn("n_chars", F.length("text"))
     tail = F.floor(F.col("n_chars") / 4).cast("int")
     pairs = pairs.withColumn("edited", F.concat(F.expr("left(text, n_chars - cast(floor(n_chars / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), tail)))
-    pairs = _anchors(pairs.drop("text", "next_text"), "edited", "edited_anchors")
+    # both texts of a pair are cut alike: by code points if either is short, which the texts' own fingerprints may not be
+    edited_mixed, next_mixed = few("edited") != few("text"), few("next_text") != few("text")
+    pairs = pairs.withColumn("points_text", F.when(edited_mixed | next_mixed, F.col("text")).otherwise("")).withColumn("points_edited", F.when(edited_mixed, F.col("edited")).otherwise(""))
+    always = F.lit(True)
+    for text, to, points in (("text", "own", None), ("edited", "new", None), ("next_text", "next", few("text") | few("next_text")), ("points_text", "own_points", always), ("points_edited", "new_points", always)):
+        pairs = _anchors(pairs, text, to, points).withColumn(to, _distinct(to))
+    c = F.col
     return pairs.select(
         "doc_id",
-        F.col("n_chars").cast("long").alias("n_chars"),
+        c("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint_text(F.col("anchors")).alias("fingerprint"),
-        fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        fingerprint_text(c("own")).alias("fingerprint"),
+        fingerprint_text(c("new")).alias("edited_fingerprint"),
+        F.when(edited_mixed, likeness(c("own_points"), c("new_points"))).otherwise(likeness(c("own"), c("new"))).alias("near_edited"),
+        F.when(next_mixed, likeness(c("own_points"), c("next"))).otherwise(likeness(c("own"), c("next"))).alias("near_next"),
     )
