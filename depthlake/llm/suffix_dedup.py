@@ -1,16 +1,19 @@
 """Removal of repeated passages by a sparse suffix array over content-defined anchors.
 
-A byte goes if a LENGTH-byte string that covers it also starts earlier in the corpus. Of each such window the GRAM with the smallest hash is its anchor, so equal
-windows have their anchor at the same place. The suffixes that start at anchors stand for all windows around them:
-
-1. Anchors are found where the texts are. Within a task's run of texts, those whose whole context (all bytes of all windows that they anchor) came earlier
-   are settled there: this takes the mass out of hot copies. The rest is shuffled by leading gram. Of the anchors with equal context all but the first are settled;
-   a gram with one context is settled too. Only first anchors of grams with several contexts remain.
-2. Their suffixes, with context, are range-partitioned by gram with sampled splitters, and each bucket sorts all windows by a multikey
-   quicksort over 8-byte words: only rows that are still equal go on to the next word. Equal windows end side by side; all but the first are repeats.
-3. Splitters may part a gram (a hot one takes many buckets), so the first and last gram of a bucket is compared across boundaries by the windows' 128-bit
-   hashes, pre-aggregated.
-4. The settled ranges of window starts meet the texts again, which cut what the windows cover.
+A byte goes if a LENGTH-byte string (a window) that covers it also starts earlier in the corpus. Of each window the GRAM with the smallest hash is its anchor, so equal
+windows have their anchor at the same place. The suffixes that start at anchors, with the bytes before them, stand for all windows around them:
+
+1. Anchors are found where the texts are. Within a task's run of texts, an anchor whose whole context (all bytes of all windows that it could have) is the same, byte by
+   byte, as an earlier one's is settled there: this takes the mass out of hot copies and of texts of one letter.
+2. Anchors are range-partitioned by the hash of their gram; those whose gram comes once in the corpus leave, as nothing can equal their windows.
+3. The suffixes of the others are range-partitioned by their bytes (then the bytes before them, then place) with sampled splitters. Each bucket sorts them by a multikey quicksort over
+   8-byte words, forwards and backwards, which gives the lengths of common prefixes on both sides. A window with k bytes before its anchor is equal to
+   another if both have the same first 100 - k bytes after and k before; all but the first of equals are repeats, given out as ranges.
+4. Only windows whose bytes after the anchor are also those of the bucket's first or last suffix can have an equal in another bucket. The first ones of them are dealt once more, now by the bytes
+   before the anchor; those that are still open at a boundary of such a bucket, which shares both sides, are compared by their whole bytes, one row of a bucket for each distinct window.
+5. The ranges of window starts meet the texts again, which cut what the windows cover.
+
+Hashes only choose candidates; what settles a window is a comparison of all its bytes.
 
 Defined results: null text counts as empty; texts shorter than LENGTH bytes stay whole; rows of one doc_id are ordered by text, and repeated rows repeat the first;
 a null doc_id orders before all others; an empty table gives an empty result; other columns are ignored.
@@ -23,7 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, expand, filled, partitions, saved, slices
@@ -142,193 +145,272 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, at[:-1] - at[0], at[1:] - at[0]
 
 
-ANCHORS = "gram long, context long, doc long, place long, low int, high int"
+ANCHORS = "gram long, doc long, place long, low long, high long"
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names.split())
+
+
+def runs(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of starts that touch, joined per document."""
+    order = np.lexsort((low, doc))
+    doc, low, high = doc[order], low[order], high[order]
+    if not len(doc):
+        return doc, low, high
+    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (low[1:] > high[:-1] + 1)]))
+    return doc[begin], low[begin], np.maximum.reduceat(high, begin)
+
+
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether raw has the same size bytes at a and at b."""
+    out = np.empty(len(a), bool)
+    for first in range(0, len(a), 1 << 14):
+        x, y, n = (v[first : first + (1 << 14)] for v in (a, b, size))
+        equal = raw[expand(x, n)] == raw[expand(y, n)]
+        out[first : first + (1 << 14)] = np.logical_and.reduceat(equal, np.cumsum(n) - n) if len(n) else True
+    return out
 
 
-def _settled_locally(doc, place, low, high, g, c):
-    """Rows of ANCHORS: first anchors of each context, and ranges of window starts that earlier ones settle (context null)."""
+def _settled_locally(raw, base, end, doc, place, low, high, g, c):
+    """Rows of ANCHORS: first anchors of each context, and ranges of window starts that earlier ones settle (gram null).
+
+    raw: the bytes of all texts of the run; base, end: where each anchor's text begins and ends there.
+    """
     order = np.lexsort((place, doc, c, g))
     again = np.zeros(len(order), bool)
-    again[order[1:]] = (g[order[1:]] == g[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
-    first = np.flatnonzero(~again)
-    rest = np.flatnonzero(again)
-    rest = rest[np.lexsort((low[rest], doc[rest]))]
-    begin = np.concatenate([[True], (doc[rest[1:]] != doc[rest[:-1]]) | (low[rest[1:]] != high[rest[:-1]] + 1)]) if len(rest) else np.empty(0, bool)
-    head = np.flatnonzero(begin)
-    tail = np.concatenate([head[1:], [len(rest)]]) - 1 if len(head) else head
-    signed = lambda x: x.astype(np.uint64).view(np.int64)
-    spread = signed(_mixed(doc[rest[head]].astype(np.uint64) * C1 + low[rest[head]].astype(np.uint64)))  # settled rows go anywhere
-    columns = [
-        pa.array(np.concatenate([signed(g[first]), spread])),
-        pa.array(np.concatenate([signed(c[first]), np.zeros(len(head), np.int64)]), mask=np.arange(len(first) + len(head)) >= len(first)),
-        pa.array(np.concatenate([doc[first], doc[rest[head]]])),
-        pa.array(np.concatenate([place[first], low[rest[head]]])),
-        pa.array(np.concatenate([low[first], low[rest[head]]]).astype(np.int32)),
-        pa.array(np.concatenate([high[first], high[rest[tail]]]).astype(np.int32)),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["gram", "context", "doc", "place", "low", "high"])
+    again[1:] = (g[order[1:]] == g[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+    first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+    rest, first = order[again], first[again]
+    left = np.minimum(place, REACH)
+    size = left + np.minimum(LENGTH, end - base - place)
+    same = (left[rest] == left[first]) & (size[rest] == size[first])
+    rest, first = rest[same], first[same]
+    rest = rest[_same_bytes(raw, (base + place - left)[rest], (base + place - left)[first], size[rest])]
+    stay = np.ones(len(doc), bool)
+    stay[rest] = False
+    gone = runs(doc[rest], low[rest], high[rest])
+    stay = np.flatnonzero(stay)
+    gram = pa.array(np.concatenate([g[stay].view(np.int64), np.zeros(len(gone[0]), np.int64)]), mask=np.arange(len(stay) + len(gone[0])) >= len(stay))
+    return _batch("gram doc place low high", gram, *(np.concatenate(x).astype(np.int64) for x in zip((doc[stay], place[stay], low[stay], high[stay]), (gone[0], gone[1], gone[1], gone[2]))))
 
 
 def _anchors(batches):
-    held, size = [], 0
+    held, raws, size = [], [], 0
+
+    def settled():
+        return _settled_locally(np.concatenate(raws), *(np.concatenate(x) for x in zip(*held)))
+
     for batch in batches:
         for first, rows in slices(batch.column("text"), 1 << 20):
             run = batch.slice(first, rows)
             raw, starts, ends = _bytes_of(filled(run.column("text")))
             text, *found = text_anchors(raw, starts, ends)
-            held.append((run.column("doc").to_numpy()[text], *found))
+            held.append((starts[text] + size, ends[text] + size, run.column("doc").to_numpy()[text], *found))
+            raws.append(raw)
             size += len(raw)
             if size >= TOGETHER:
-                yield _settled_locally(*(np.concatenate(x) for x in zip(*held)))
-                held, size = [], 0
+                yield settled()
+                held, raws, size = [], [], 0
+    if held:
+        yield settled()
+
+
+def _shared_grams(batches):
+    """Of a range of anchors by gram those whose gram comes again; those of its first and last gram stay too, as other ranges may have them."""
+    held = [b for b in batches if b.num_rows]
     if held:
-        yield _settled_locally(*(np.concatenate(x) for x in zip(*held)))
+        gram, doc, place, low, high = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("gram", "doc", "place", "low", "high"))
+        order = np.argsort(gram, kind="stable")
+        g = gram[order]
+        same = g[1:] == g[:-1]
+        keep = np.zeros(len(g), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep |= (g == g[0]) | (g == g[-1])
+        at = order[keep]
+        yield _batch("doc place low high", doc[at], place[at], low[at], high[at])
 
 
-SUFFIXES = "gram long, doc long, place long, low int, high int, begin int, bytes binary"
+SUFFIXES = "doc long, place long, low long, high long, after binary, before binary"
 
 
 def _suffixes(batches):
-    """The context bytes of each open anchor of the texts."""
+    """The bytes of each open anchor of the texts: those after it, and those before it backwards, as far as its windows go."""
     for batch in batches:
-        rows = []
-        for doc, text, open_ in zip(batch.column("doc").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("open").to_pylist()):
-            raw = text.as_buffer()
+        rows, after, before = [], [], []
+        for doc, text, open_ in zip(batch.column("doc").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("open").to_pylist()):
+            back, n = text[::-1], len(text)
             for x in open_:
-                begin = max(0, x["place"] - REACH)
-                rows.append((x["gram"], doc, x["place"], x["low"], x["high"], begin, raw[begin : min(len(raw), x["place"] + LENGTH)].to_pybytes()))
-        columns = list(zip(*rows)) or [[]] * 7
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["gram", "doc", "place", "low", "high", "begin", "bytes"])
+                place, low, high = x["place"], x["low"], x["high"]
+                rows.append((doc, place, low, high))
+                after.append(text[place : high + LENGTH])
+                before.append(back[n - place : n - low])
+            if len(rows) > 10_000:
+                yield _batch("doc place low high after before", *np.array(rows, np.int64).T, pa.array(after, pa.binary()), pa.array(before, pa.binary()))
+                rows, after, before = [], [], []
+        yield _batch("doc place low high after before", *np.array(rows, np.int64).reshape(-1, 4).T, pa.array(after, pa.binary()), pa.array(before, pa.binary()))
 
 
-def windows_of(low: np.ndarray, high: np.ndarray, begin: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of suffix rows: the row, the start, and their bytes as big-endian words."""
-    blob = np.frombuffer(b"".join(data), np.uint8)
-    at = np.cumsum([0, *map(len, data[:-1])])
-    rows = np.repeat(np.arange(len(low)), high - low + 1)
-    start = expand(low.astype(np.int64), (high - low + 1).astype(np.int64))
-    table = np.zeros((len(rows), -(-LENGTH // 8) * 8), np.uint8)
-    table[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(blob, LENGTH)[at[rows] + start - begin[rows]]
-    return rows, start, table.view(">u8")
+def table_of(column: pa.Array, width: int) -> np.ndarray:
+    """Byte strings as rows of a table, filled up with zeros to a multiple of 8."""
+    raw, starts, ends = _bytes_of(column)
+    out = np.zeros((len(column), -(-width // 8) * 8), np.uint8)
+    out[np.arange(out.shape[1]) < (ends - starts)[:, None]] = raw
+    return out
 
 
-def multikey_groups(group: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """For each row a number that equal rows (same group, same words) share, -1 for rows without an equal.
+def multikey_order(table: np.ndarray) -> np.ndarray:
+    """The order of the rows of a table of bytes, by a multikey quicksort over 8-byte words.
 
-    Word by word: rows are sorted by group and word, runs of equals become the new groups, and rows alone leave.
+    Word by word: rows are sorted by group and word, runs of equals are the next groups, and rows that are alone have their place.
     """
-    rows = np.arange(len(group))
+    words = table.view(">u8")
+    order, at, group = np.arange(len(words)), np.arange(len(words)), np.zeros(len(words), np.int64)  # places still open, and the group of each
     for w in range(words.shape[1]):
-        key = words[rows, w].astype(np.uint64)
-        order = np.lexsort((key, group[rows]))
-        rows, key = rows[order], key[order]
-        own = group[rows]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])]) if len(rows) else np.empty(0, bool)
+        key = words[order[at], w].astype(np.uint64)
+        by = np.lexsort((key, group)) if w else np.argsort(key, kind="stable")
+        order[at], key, group = order[at[by]], key[by], group[by]
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])]) if len(at) else np.empty(0, bool)
         number = np.cumsum(new) - 1
         many = np.bincount(number, minlength=1)[number] > 1
-        rows, number = rows[many], number[many]
-        group = np.full(len(group), -1, np.int64)
-        group[rows] = number
-    return group
-
-
-def hashes_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.full(len(words), C1), np.full(len(words), C2)
-    for w in range(words.shape[1]):
-        x = words[:, w].astype(np.uint64)
-        a, b = _mixed(_joined(a, x)), _mixed(_joined(x + C2, b))
-    return a.view(np.int64), b.view(np.int64)
-
-
-FOUND = "doc long, low int, high int, hash_a long, hash_b long"
-#: Suffix rows whose windows are sorted at once.
-ROWS_AT_ONCE = 3_000
-
-
-def _found(doc, low, high, a=None, b=None) -> pa.RecordBatch:
-    null = lambda x: pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x)
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(low, np.int32)), pa.array(np.asarray(high, np.int32)), null(a), null(b)], names=["doc", "low", "high", "hash_a", "hash_b"])
-
-
-def runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts per document as ranges (doc, low, high)."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    if not len(doc):
-        return doc, start, start
-    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]))
-    return doc[begin], start[begin], start[np.concatenate([begin[1:], [len(doc)]]) - 1]
-
-
-def _sorted_bucket(batches):
-    """Repeats inside a bucket whose rows are sorted by gram; the windows of its first and last gram are given out with their hashes."""
-
-    def compared(rows: list[dict]):
-        """The windows of rows sorted: their documents and starts, words, and the places of repeats among them."""
-        gram, doc, low, high, begin = (np.array([x[k] for x in rows], np.int64) for k in ("gram", "doc", "low", "high", "begin"))
-        owner, start, words = windows_of(low, high, begin, [x["bytes"] for x in rows])
-        doc, same = doc[owner], multikey_groups(np.unique(gram, return_inverse=True)[1][owner], words)
-        hit = np.flatnonzero(same >= 0)
-        hit = hit[np.lexsort((start[hit], doc[hit], same[hit]))]
-        return doc, start, words, hit[1:][same[hit[1:]] == same[hit[:-1]]]
-
-    def local(rows: list[dict]) -> pa.RecordBatch:
-        doc, start, _, later = compared(rows)
-        return _found(*runs(doc[later], start[later]))
-
-    def across(rows: list[dict]):
-        """Repeats are settled here too; only the first of equal windows goes on to be compared with other buckets."""
-        for i in range(0, len(rows), ROWS_AT_ONCE):
-            doc, start, words, later = compared(rows[i : i + ROWS_AT_ONCE])
-            yield _found(*runs(doc[later], start[later]))
-            first = np.delete(np.arange(len(doc)), later)
-            yield _found(doc[first], start[first], start[first], *hashes_of(words[first]))
-
-    # a gram is compared across boundaries if it is the bucket's first or last, or hot: none of it is kept here
-    gram, run, waiting, across_too = None, [], [], True
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["gram"] != gram:
-                if across_too:
-                    yield from across(run)
-                else:
-                    waiting += run
-                across_too, gram, run = gram is None, row["gram"], []
-                if len(waiting) >= ROWS_AT_ONCE:
-                    yield local(waiting)
-                    waiting = []
-            run.append(row)
-            if len(run) >= ROWS_AT_ONCE:
-                across_too = True
-                yield from across(run)
-                run = []
-    yield from across(run)
-    if waiting:
-        yield local(waiting)
+        at, group = at[many], number[many]
+    return order
+
+
+def common_prefixes(table: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The bytes that each row shares with the one before it in order: 0 for the first, LENGTH for equal rows."""
+    out = np.zeros(len(order), np.int64)
+    for first in range(1, len(order), 1 << 14):
+        at = order[first - 1 : first + (1 << 14)]
+        other = table[at[1:]] != table[at[:-1]]
+        out[first : first + len(other)] = np.where(other.any(axis=1), other.argmax(axis=1), LENGTH)
+    return out
+
+
+class Sorted:
+    """A side (bytes after or before) of a bucket's suffixes in order."""
+
+    def __init__(self, table: np.ndarray):
+        self.order = multikey_order(table)
+        self.common = common_prefixes(table, self.order)
+        self.rank = np.empty(len(table), np.int64)
+        self.rank[self.order] = np.arange(len(table))
+
+    def shared(self) -> np.ndarray:
+        """The most bytes that each row shares with any other."""
+        return np.maximum(self.common, np.append(self.common[1:], 0))[self.rank]
+
+    def with_ends(self) -> np.ndarray:
+        """The most bytes that each row shares with the first or the last row."""
+        if not len(self.order):
+            return self.common
+        first = np.minimum.accumulate(np.append(LENGTH, self.common[1:]))
+        last = np.minimum.accumulate(np.append(LENGTH, self.common[:0:-1]))[::-1]
+        return np.maximum(first, last)[self.rank]
+
+    def classes(self, size: int) -> np.ndarray:
+        """A number for each row that rows with the same first size bytes share."""
+        return np.cumsum(self.common < size)[self.rank]
+
+
+FOUND = "doc long, place long, low long, high long, after binary, before binary, window binary"
+#: Suffixes that a bucket should hold, some 20 MB, and windows that a suffix can have.
+BUCKET_ROWS, WINDOWS = 100_000, np.arange(REACH + 1)
+
+
+def repeats(after: Sorted, before: Sorted, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A table of flags: whether an earlier row has the row's window with k bytes before the anchor too. Rows are in order of place; k goes from least to most."""
+    out = np.zeros((len(least), len(WINDOWS)), bool)
+    # rows that equal an earlier one in everything leave at once
+    whole = [after.classes(LENGTH), before.classes(LENGTH), least, most]
+    order = np.lexsort(whole)
+    copies = order[1:][np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in whole])]
+    out[copies] = (least[copies, None] <= WINDOWS) & (WINDOWS <= most[copies, None])
+    alone = np.ones(len(least), bool)
+    alone[copies] = False
+    low, high = np.maximum(least, LENGTH - after.shared()), np.minimum(most, before.shared())
+    live = np.flatnonzero(alone & (low <= high))
+    low, high = low[live], high[live]
+    for k in range(int(low.min(initial=LENGTH)), int(high.max(initial=-1)) + 1):
+        rows = live[(low <= k) & (k <= high)]
+        key = after.classes(LENGTH - k)[rows] * (len(least) + 1) + before.classes(k)[rows]
+        out[np.delete(rows, np.unique(key, return_index=True)[1]), k] = True
+    return out
+
+
+def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of flags in a row: the row, the first and the last column."""
+    edges = np.diff(np.pad(flags, ((0, 0), (1, 1))).view(np.int8), axis=1)
+    row, first = np.nonzero(edges > 0)
+    return row, first, np.nonzero(edges < 0)[1] - 1
+
+
+def _sorted_bucket(by_before: bool):
+    """Repeats inside a bucket as ranges, and first windows that may have an equal in another bucket as they share what the bucket is dealt by with its
+    first or last suffix: as suffixes with those windows alone or, of a bucket dealt by the bytes before, window by window."""
+    names = "doc place low high after before window"
+
+    def sort(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pc.sort_indices(rows, [("doc", "ascending"), ("place", "ascending")])).combine_chunks().to_batches()[0]
+        doc, place, low, high = (rows.column(c).to_numpy() for c in ("doc", "place", "low", "high"))
+        tables = [table_of(rows.column("after"), LENGTH), table_of(rows.column("before"), REACH)]
+        after, before = map(Sorted, tables)
+        least, most = place - high, place - low
+        again = repeats(after, before, least, most)
+        row, first, last = spans(again)
+        d, a, b = runs(doc[row], place[row] - last, place[row] - first)
+        none = pa.nulls(len(d), pa.binary())
+        yield _batch(names, d, a, a, b, none, none, none)
+
+        if by_before:
+            most = np.minimum(most, before.with_ends())
+        else:
+            least = np.maximum(least, LENGTH - after.with_ends())
+        open_ = ~again & (least[:, None] <= WINDOWS) & (WINDOWS <= most[:, None])
+        row, first, last = spans(open_)
+        if by_before:
+            row, first = np.nonzero(open_)
+            last = first
+        for at in range(0, len(row), 1 << 14):
+            r, x, y = (v[at : at + (1 << 14)] for v in (row, first, last))
+            forth = [tables[0][i, : LENGTH - k].tobytes() for i, k in zip(r, x)]
+            back = [tables[1][i, :k].tobytes() for i, k in zip(r, y)]
+            none = [None] * len(r)
+            own = (none, none, [b[::-1] + f for f, b in zip(forth, back)]) if by_before else (forth, back, none)
+            yield _batch(names, doc[r], place[r], place[r] - y, place[r] - x, *(pa.array(v, pa.binary()) for v in own))
+
+    return sort
+
+
+def _bucketed(suffixes: DataFrame, by_before: bool) -> DataFrame:
+    """Rows of FOUND from a saved table of suffixes."""
+    buckets = max(partitions(suffixes.sparkSession), -(-suffixes.count() // BUCKET_ROWS))
+    sides = ("before", "after") if by_before else ("after", "before")
+    return saved(suffixes.repartitionByRange(buckets, *sides, "doc", "place").mapInArrow(_sorted_bucket(by_before), FOUND), "found")
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(doc, low, high): ranges of starts of windows that also start earlier, of a table (doc, text) with distinct doc."""
-    spark = texts.sparkSession
-    anchors = texts.mapInArrow(_anchors, ANCHORS).repartition("gram")
-    by_context = Window.partitionBy("gram", "context").orderBy("doc", "place")
-    by_gram = Window.partitionBy("gram")
-    judged = anchors.withColumn("nth", F.row_number().over(by_context)).withColumn("several", F.min("context").over(by_gram) != F.max("context").over(by_gram))
-    judged = judged.withColumn("settled", F.col("context").isNull() | (F.col("nth") > 1)).where("settled or several")
-    judged = saved(judged.select("gram", "doc", "place", "low", "high", "settled"), "anchors")
-    settled = judged.where("settled").select("doc", "low", "high")
-
-    open_ = judged.where("not settled").groupBy("doc").agg(F.collect_list(F.struct("gram", "place", "low", "high")).alias("open"))
+    anchors = saved(texts.mapInArrow(_anchors, ANCHORS), "anchors")
+    by_gram = anchors.where("gram is not null").repartitionByRange(partitions(texts.sparkSession), "gram", "doc", "place")
+    shared = by_gram.mapInArrow(_shared_grams, "doc long, place long, low long, high long")
+    open_ = shared.groupBy("doc").agg(F.collect_list(F.struct("place", "low", "high")).alias("open"))
     suffixes = saved(texts.join(open_, "doc").select("doc", "text", "open").mapInArrow(_suffixes, SUFFIXES), "suffixes")
-    buckets = suffixes.repartitionByRange(partitions(spark), "gram", "doc", "place").sortWithinPartitions("gram", "doc", "place")
-    found = saved(buckets.mapInArrow(_sorted_bucket, FOUND), "found")
+    found = _bucketed(suffixes, by_before=False)
     dropped(suffixes)
-
-    edge = found.where("hash_a is not null").select("doc", F.col("low").alias("start"), "hash_a", "hash_b")
-    firsts = edge.groupBy("hash_a", "hash_b").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    across = edge.join(firsts, ["hash_a", "hash_b"]).where(F.struct("doc", "start") > F.col("first")).select("doc", F.col("start").alias("low"), F.col("start").alias("high"))
-    return settled.union(found.where("hash_a is null").select("doc", "low", "high")).union(across)
+    across = _bucketed(found.where("after is not null").select("doc", "place", "low", "high", "after", "before"), by_before=True)
+    windows = across.where("window is not null").select("doc", "low", "window")
+    firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "low")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = windows.join(firsts, "window").where(F.struct("doc", "low") > F.col("first")).select("doc", "low", F.col("low").alias("high"))
+    inside = [df.select("doc", "low", "high") for df in (anchors.where("gram is null"), found.where("after is null"), across.where("window is null"))]
+    ranges = saved(inside[0].union(inside[1]).union(inside[2]).union(later), "ranges")
+    dropped(anchors, found, across)
+    return ranges
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -362,14 +444,12 @@ def _cut(keeps_text: bool):
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, text): doc is distinct and orders rows by doc_id, null first, and text. It is doc_id itself where that is distinct."""
+    """(doc_id, doc, text): doc is distinct and orders rows by doc_id, null first, and text. It is doc_id itself where that is distinct and never null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, nulls = rows.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    most = rows.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
-    known = F.coalesce("doc_id", F.lit((low or 0) - 1)) if nulls else F.col("doc_id")
-    if most == 1:
-        return rows.withColumn("doc", known)
-    return rows.withColumn("doc", known * F.lit(most) + F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1)
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return rows.withColumn("doc", F.col("doc_id"))
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    return saved(ordered.withColumn("doc", F.monotonically_increasing_id()), "numbered")
 
 
 def remove_repeats(docs: DataFrame, keeps_text: bool = False) -> DataFrame:
