@@ -4,7 +4,7 @@ Spark counts the words of the whole corpus (chunks between places where a byte-l
 frequent, a bounded table. They are compiled into a minimal acyclic automaton: equal suffixes share states, and each arc carries the number
 of words before it, so the sum along a word is its number, which finds its ids. Workers map the compiled arrays into memory and look up the
 distinct words of a batch together, byte by byte. Words that the automaton does not accept are merged pair by pair by rank, as the vocabulary file says,
-many words at a time.
+many short words at a time; a long word in a time that grows as its length times the logarithm of the ranks.
 
 Defined results: null text counts as empty and has no ids; special tokens in a text are their ids, as the library has it; repeated rows are encoded each;
 rows with a null doc_id keep it; an empty table gives an empty result; other columns are ignored.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import tempfile
 import uuid
@@ -24,15 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_letters, cut_before_spaces, expand, filled, slices
-from .vocabularies import SIMPLE
+from .shared import byte_letters, cut_before_spaces, dropped, expand, filled, saved, slices, smallest_keys, text_bounds
+from .vocabularies import ChunkEncoder
 
 #: Words compiled into the automaton, at most.
 LEXICON = 40_000
 #: Bytes of a word that is looked up; longer ones are merged.
 LONGEST = 40
-#: Unseen words whose ids a worker remembers.
-MOST_UNSEEN = 150_000
+#: Bytes of a word beyond which it is merged rank by rank.
+LONG = 200
 NONE = np.iinfo(np.int32).max
 
 
@@ -63,6 +64,8 @@ class Merges:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.sides = [(vocab[a], vocab[b]) for a, b in pairs]
+        self.rank_of = {a * self.base + b: rank for rank, (a, b) in enumerate(self.sides)}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where there is none or a side is padding (-1)."""
@@ -72,8 +75,8 @@ class Merges:
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words, each by its lowest-ranked leftmost pair again and again. Words of like length go together."""
-        out: list[list[int]] = [[] for _ in words]
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        out = [self._merge_long(x) if len(x) > LONG else [] for x in words]
+        order = sorted((i for i in range(len(words)) if len(words[i]) <= LONG), key=lambda i: len(words[i]))
         first = 0
         while first < len(order):
             length = max(1, len(words[order[first]]))
@@ -111,10 +114,53 @@ class Merges:
         for i, row in zip(to, held.tolist()):
             out[i] = row[: row.index(-1)] if -1 in row else row
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """Ids of one word: ranks in ascending order, and all places of a rank from left to right, in a list linked both ways."""
+        start = self.of_byte[np.frombuffer(word, np.uint8)]
+        ranks = self.rank(start[:-1], start[1:])
+        by_rank = np.argsort(ranks, kind="stable")
+        by_rank = by_rank[: int(np.searchsorted(ranks[by_rank], NONE))]
+        cuts = np.flatnonzero(np.diff(ranks[by_rank])) + 1
+        places = {int(ranks[own[0]]): own.tolist() for own in np.split(by_rank, cuts) if len(own)}
+        heap = sorted(places)
+        ids, n = start.tolist(), len(start)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        made_by, base, rank_of = self.made.tolist(), self.base, self.rank_of
+        while heap:
+            rank = heapq.heappop(heap)
+            left, right = self.sides[rank]
+            made, todo = made_by[rank], sorted(places.pop(rank))
+            for at, i in enumerate(todo):
+                k = after[i]
+                if ids[i] != left or k == n or ids[k] != right:
+                    continue
+                ids[i], ids[k] = made, -1
+                after[i] = far = after[k]
+                near, lower = before[i], False
+                pairs = []
+                if far < n:
+                    before[far] = i
+                    pairs.append((i, made * base + ids[far]))
+                if near >= 0:
+                    pairs.append((near, ids[near] * base + made))
+                for place, key in pairs:
+                    new = rank_of.get(key)
+                    if new is not None:
+                        lower |= new < rank
+                        if new in places:
+                            places[new].append(place)
+                        else:
+                            places[new] = [place]
+                            heapq.heappush(heap, new)
+                if lower and at + 1 < len(todo):  # a pair of lower rank goes before the places that are left
+                    if rank not in places:
+                        heapq.heappush(heap, rank)
+                    places.setdefault(rank, []).extend(todo[at + 1 :])
+                    break
+        return [x for x in ids if x >= 0]
+
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk, as the vocabulary's pattern cuts them; a special token is a word."""
-        if m := SIMPLE.fullmatch(chunk):
-            return [x for x in m.groups() if x]
         out = []
         for piece in self.specials.split(chunk):
             out += [piece] if piece in self.special else self.parts.findall(piece)
@@ -243,36 +289,33 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-class Encoder:
+class Encoder(ChunkEncoder):
     """Encodes batches of texts with a compiled lexicon."""
 
     def __init__(self, path: str, lexicon: dict[str, np.ndarray]):
-        self.merges, self.lexicon, self.unseen = merges(path), mapped(lexicon), {}
+        super().__init__(cut_before_spaces)
+        self.merges, self.lexicon = merges(path), mapped(lexicon)
+
+    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+        return self.merges.merge([x.encode() for x in parts])
+
+    def encode_whole(self, chunks: list[str]) -> list[list[int]]:
+        return self.merges.encode(chunks)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the n+1 places in it where texts begin and end."""
-        lists = cut_before_spaces(texts)
+        lists = self.cut(texts)
         coded = lists.flatten().dictionary_encode()
-        words, lexicon = coded.dictionary, self.lexicon
-        number = look_up(lexicon, words)
-        starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        seen = number >= 0
-        starts[seen], lengths[seen] = lexicon["starts"][number[seen]], lexicon["lengths"][number[seen]]
-        rest = np.flatnonzero(~seen)
-        chunks = words.take(pa.array(rest)).to_pylist()
-        if len(self.unseen) > MOST_UNSEEN:
-            self.unseen = {}
-        if new := [x for x in chunks if x not in self.unseen]:
-            self.unseen.update((x, np.array(y, np.int32)) for x, y in zip(new, self.merges.encode(new)))
-        own = [self.unseen[x] for x in chunks]
-        lengths[rest] = np.fromiter(map(len, own), np.int64, len(own))
-        starts[rest] = len(lexicon["flat"]) + np.cumsum(lengths[rest]) - lengths[rest]
-        flat = np.concatenate([lexicon["flat"], *own])
+        lexicon = self.lexicon
+        number = look_up(lexicon, coded.dictionary)
+        rest = np.flatnonzero(number < 0)
+        ids, own = self.chunks.ids(coded.dictionary.take(pa.array(rest)))
+        starts, lengths = lexicon["starts"][number].astype(np.int64), lexicon["lengths"][number].astype(np.int64)
+        starts[rest], lengths[rest] = len(lexicon["flat"]) + np.cumsum(own) - own, own
+        flat = np.concatenate([lexicon["flat"].astype(np.uint32), ids])
         codes = coded.indices.to_numpy()
-        each = lengths[codes]
-        ids = flat[expand(starts[codes], each)]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        return ids, ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+        lengths = lengths[codes]
+        return flat[expand(starts[codes], lengths)], text_bounds(lists, lengths)
 
 
 #: The encoder of the query that this worker last worked for.
@@ -287,10 +330,14 @@ def _counted(batches):
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
-    """The most frequent words of all texts, at most so many."""
+    """The most frequent words of all texts, at most so many, in order. Counts are told apart to a 64th of a doubling; of words alike in that, those with the smallest hash come first."""
     counts = docs.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where((F.length("word") > 0) & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(most)
-    return [x.word for x in top.collect()]
+    counts = counts.where((F.length("word") > 0) & (F.octet_length("word") <= LONGEST))
+    rarity = F.shiftleft(F.lit(1 << 12) - F.floor(F.log2("n") * 64), 40) + F.xxhash64("word").bitwiseAND(F.lit((1 << 40) - 1))
+    counts = saved(counts.select("word", rarity.alias("rarity")), "word-counts")
+    words = sorted(x.word for x in smallest_keys(counts, F.col("rarity"), most).select("word").collect())
+    dropped(counts)
+    return words
 
 
 def compiled(docs: DataFrame, path: str) -> dict[str, np.ndarray]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,36 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of queries that are done, which it does when its driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def smallest_keys(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """The rows with the smallest keys (longs from 0 up): at most so many and, where keys tell them apart, at most a hundredth fewer.
+
+    The bound is found by histograms of 65,536 parts at most, each inside the part where the one before it ended; no rows are sorted or gathered.
+    """
+    low, high, bits, left = 0, None, 47, rows
+    while True:
+        inside = df if high is None else df.where((key >= low) & (key < high))
+        for part, n in sorted(map(tuple, inside.groupBy(F.shiftright(key - F.lit(low), bits)).count().collect())):
+            if n > left:
+                break
+            left -= n
+        else:
+            return df
+        low += part << bits
+        if not bits or left * 100 <= rows:
+            return df.where(key < low)
+        high, bits = low + (1 << bits), max(0, bits - 16)
+
+
 # White space as Unicode's White_Space property has it; the tokenizers' \s is the same set.
 WHITE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -83,57 +111,74 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-class ChunkEncoder:
-    """Encodes texts chunk by chunk; each distinct chunk of a batch is encoded once and the last ones are remembered.
+class Memory:
+    """Strings and their ids, one after the other."""
 
-    encode_new(chunks) gives the ids of chunks that are not remembered. most: the number of remembered chunks beyond
-    which memory is cleared, so that it stays bounded whatever the corpus.
-    """
-
-    def __init__(self, cut, encode_new, most: int = 400_000):
-        self.cut, self.encode_new, self.most = cut, encode_new, most
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self):
         self.known: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.flat, self.used, self.size = np.empty(1 << 16, np.uint32), 0, 0
+        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def learn(self, chunks: list[str]) -> None:
-        ids = self.encode_new(chunks)
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        need, n = self.used + int(lengths.sum()), len(self.known)
+    def add(self, strings: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, need = len(self.known), self.used + len(ids)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(need, np.uint32)])
-        if n + len(chunks) > len(self.starts):
-            self.starts = np.concatenate([self.starts[:n], np.empty(n + len(chunks), np.int64)])
-            self.lengths = np.concatenate([self.lengths[:n], np.empty(n + len(chunks), np.int32)])
-        self.flat[self.used : need] = np.fromiter((i for x in ids for i in x), np.uint32, need - self.used)
-        self.starts[n : n + len(chunks)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[n : n + len(chunks)] = lengths
-        self.known.update(zip(chunks, range(n, n + len(chunks))))
+        if n + len(strings) > len(self.starts):
+            self.starts = np.concatenate([self.starts[:n], np.empty(n + len(strings), np.int64)])
+            self.lengths = np.concatenate([self.lengths[:n], np.empty(n + len(strings), np.int64)])
+        self.flat[self.used : need] = ids
+        self.starts[n : n + len(strings)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(strings)] = lengths
+        self.known.update(zip(strings, range(n, n + len(strings))))
         self.used = need
+        self.size += 160 * len(strings) + sum(map(len, strings)) + 4 * len(ids)
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.lengths[slots]
+        return self.flat[expand(self.starts[slots], lengths)], lengths
+
+
+class Remembered:
+    """Ids of strings, each distinct one encoded once while it is remembered.
+
+    encode_new(strings) gives their places in an order of its own, their ids in that order, and how many each has. Two generations of most_bytes are kept: a string of the
+    older one that is met again moves to the younger; when that is full it becomes the older one. So memory is bounded whatever the corpus, and frequent strings stay.
+    """
+
+    def __init__(self, encode_new, most_bytes: int = 64 << 20):
+        self.encode_new, self.most, self.young, self.old = encode_new, most_bytes, Memory(), Memory()
+
+    def ids(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in one array, and how many each string has."""
+        if self.young.size > self.most:
+            self.young, self.old = Memory(), self.young
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes five times as long
+        slots = np.fromiter(map(self.young.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(missing := np.flatnonzero(slots < 0)):
+            names = list(map(distinct.__getitem__, missing.tolist()))
+            earlier = np.fromiter(map(self.old.known.get, names, repeat(-1)), np.int64, len(names))
+            for at, learn in ((np.flatnonzero(earlier >= 0), None), (np.flatnonzero(earlier < 0), self.encode_new)):
+                own = list(map(names.__getitem__, at.tolist()))
+                n = len(self.young.known)
+                order, ids, lengths = learn(own) if learn else (np.arange(len(own)), *self.old.ids(earlier[at]))
+                self.young.add(list(map(own.__getitem__, order.tolist())), ids, lengths)
+                slots[missing[at[order]]] = n + np.arange(len(own))
+        return self.young.ids(slots[coded.indices.to_numpy()] if len(distinct) else slots)
+
+
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+
+def text_bounds(lists: pa.ListArray, lengths: np.ndarray) -> np.ndarray:
+    """The n+1 places where texts begin and end in the ids of their chunks, which are so many for each chunk."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in one array, and the n+1 places in it where texts begin and end."""
-        if len(self.known) > self.most:
-            self.clear()
-        lists = self.cut(texts)
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = self.known
-        if new := [x for x in distinct if x not in known]:
-            self.learn(new)
-        at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-        codes = at[coded.indices.to_numpy()] if len(distinct) else np.empty(0, np.int64)
-        lengths = self.lengths[codes].astype(np.int64)
-        ids = self.flat[expand(self.starts[codes], lengths)]
-        counts = lists.value_lengths().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
-
-
-def slices(texts: pa.Array, most_bytes: int = 4 << 20):
+def slices(texts: pa.Array, most_bytes: int = 8 << 20):
     """Runs of rows with about most_bytes of text, as (first row, rows); a longer text has a run of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
     first = 0

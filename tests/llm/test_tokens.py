@@ -55,3 +55,44 @@ def test_decoding_what_is_not_text():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = found.encode(["日本"])[0][:2]
     assert found.decode(np.array(ids), np.array([0, len(ids)]))[0].decode() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_long_words_merge_as_the_library_does_and_in_time():
+    import time
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, found, rng = Tokenizer.from_file(path), bpe.merges(path), random.Random(4)
+    for letters, n in (("ab", 700), ("a", 999), ("thenarion", 5000), ("".join(map(chr, range(97, 123))) + "é日", 3000)):
+        word = "".join(rng.choice(letters) for _ in range(n))
+        assert found.merge([word.encode()])[0] == library.encode(word, add_special_tokens=False).ids
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(1_000_000))
+    began = time.process_time()
+    ids = found.merge([word.encode()])[0]
+    assert time.process_time() - began < 5
+    assert found.decode(np.array(ids), np.array([0, len(ids)]))[0].decode() == word
+
+
+def test_frequent_words(spark):
+    words = [f"w{i}" for i in range(300)]
+    text = " ".join([*words, *words[:40], *words[:9] * 2000])
+    counted = lambda n: bpe.frequent_words(spark.createDataFrame([(text,), (None,)], "text string"), n)
+    assert set(counted(8)) <= {f" {w}" for w in words[:9]} and len(counted(9)) == 9
+    assert {x.strip() for x in counted(40)} == set(words[:40]) and len(counted(1000)) == 301  # the first word, without a space, is one of its own
+    assert 40 <= len(counted(200)) <= 200
+
+
+def test_memory_of_two_generations():
+    from depthlake.llm.shared import Remembered
+
+    asked = []
+
+    def new(strings):
+        asked.extend(strings)
+        return np.arange(len(strings))[::-1], np.array([len(x) for x in strings[::-1] for _ in range(len(x))], np.uint32), np.array([len(x) for x in strings[::-1]], np.int64)
+
+    memory, rng = Remembered(new, 2000), random.Random(5)
+    for _ in range(50):
+        own = ["x" * rng.randint(0, 12) for _ in range(10)] + ["y" * rng.randint(0, 90)]
+        ids, lengths = memory.ids(pa.array(own))
+        assert lengths.tolist() == [len(x) for x in own] and ids.tolist() == [len(x) for x in own for _ in x]
+    assert len(set(asked)) < len(asked) < 200 and memory.ids(pa.array([], pa.string()))[0].tolist() == []
