@@ -24,6 +24,8 @@ from .vocabularies import encoder
 SCHEMA = "doc_id long, part int, file_start long, n_tokens int, ids array<int>"
 #: Bytes of a row group and of a page, and rows of a page: small enough that a point read fetches little.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
+#: Documents of a file.
+FILE_ROWS = 250_000
 #: The id after each document.
 END_ID = 1
 
@@ -54,7 +56,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, keeps_spaces: bool, path
     """Writes the files and returns their folder."""
     spark = docs.sparkSession
     path = path or scratch(spark, "token-files")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(partitions(spark), -(-docs.count() // FILE_ROWS)), "doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(_encoded(vocabulary, keeps_spaces), SCHEMA)
         .write.option("compression", "zstd")
