@@ -5,7 +5,7 @@ hinge-loss weights, by dual coordinate descent, come from a bounded sample of la
 is held back and turns margins into probabilities. The model, some hundred kB, goes to all tasks, which score whole texts where the rows are.
 
 Defined results: null text counts as empty; an empty text has a score (that of no indicator); rows with a null label or doc_id teach nothing; of
-several labels of a document the largest counts; repeated rows are scored each; with no labels, or of one class alone, every score is the share of label 1 (0.5 without labels);
+several labels of a document the largest counts, and of several rows of a doc_id the smallest text teaches; repeated rows are scored each; with no labels, or of one class alone, every score is the share of label 1 (0.5 without labels);
 an empty table gives an empty result; other columns are ignored by quality_scores and kept by drop_low_quality.
 """
 
@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import filled, slices
+from .shared import filled, slices, smallest_keys, text_of
 
-#: Labelled rows that a classifier is fitted on, at most.
-SAMPLE_ROWS = 12_000
+#: Labelled rows that a classifier is fitted on, at most, and bytes of a text that may teach: 786 MB of text in all, and far less as features.
+SAMPLE_ROWS, SAMPLE_TEXT = 12_000, 1 << 16
 THRESHOLD = 0.3
 #: The score's name beside columns of any name.
 SCORE = "__depthlake_score"
@@ -81,11 +81,15 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([run.column("label"), lists], names=["label", "features"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, *columns: str) -> DataFrame:
-    """text, label and columns of at most so many rows: those with the smallest hash of doc_id. learn: which rows of labels may teach."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, *columns: Column) -> DataFrame:
+    """text, label and columns of at most so many rows, one for a doc_id (that with the smallest text): those with the smallest hash of doc_id.
+
+    learn: which rows of labels may teach. Texts of more than SAMPLE_TEXT bytes teach nothing.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *columns).join(F.broadcast(chosen), "doc_id").select("text", "label", *columns)
+    chosen = smallest_keys(known, F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)), rows)
+    own = docs.where(~F.coalesce(F.octet_length("text") > SAMPLE_TEXT, F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(text_of().alias("text"), *columns).alias("row"))
+    return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("row").alias("row"), F.first("label").alias("label")).select("label", "row.*")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
