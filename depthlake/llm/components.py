@@ -22,10 +22,10 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         ends = rest.select(F.explode(F.array(F.struct("low", F.col("low").alias("near")), F.struct(F.col("high").alias("low"), F.col("low").alias("near")))).alias("x")).select(F.col("x.low").alias("node"), "x.near")
         to = saved(ends.groupBy("node").agg(F.min("near").alias("to")), "pointers")
-        step = lambda p, q: p.join(q.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        step = lambda p, q: p.join(q.select(F.col("node").alias("to"), F.col("to").alias("next")).hint("merge"), "to").select("node", F.col("next").alias("to"))
         twice = step(to, to)
         far = saved(step(twice, twice), "pointers")
-        moved = lambda df, c: df.join(far.select(F.col("node").alias(c), "to"), c).drop(c).withColumnRenamed("to", c)
+        moved = lambda df, c: df.join(far.select(F.col("node").alias(c), "to").hint("merge"), c).drop(c).withColumnRenamed("to", c)
         new = moved(moved(rest, "low"), "high").where("low != high").select(pair(F.col("low"), F.col("high")).alias("e")).select("e.*").distinct()
         new = saved(new, "edges")
         dropped(rest, to)
@@ -38,6 +38,6 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     while rounds:
         earlier, last = rounds.pop(), found
         ends = last.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        found = saved(earlier.join(ends, "to", "left").select("node", F.coalesce("root", "to").alias("to")), "pointers")
+        found = saved(earlier.join(ends.hint("merge"), "to", "left").select("node", F.coalesce("root", "to").alias("to")), "pointers")
         dropped(earlier, last)
     return found.select("node", F.col("to").alias("root"))

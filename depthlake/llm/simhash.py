@@ -1,31 +1,34 @@
 """SimHash near-dedup by ball hashing that meets in the middle.
 
-Fingerprints are 64 bits over the XXH64 hashes of word shingles. Equal fingerprints are one node from the start. Two that differ in
-RADIUS = 3 bits or fewer differ in one bit or none on one of their halves, so each node emits, for both halves, its half and all
-variants within half the radius (one bit), is shuffled on them, and a variant meets the nodes that own it; colliding pairs are deduplicated and verified on all 64 bits.
-A half that more than HOT nodes own would make that quadratic. Nodes that touch such a half emit whole 64-bit variants instead: those within one bit, and nodes of
-even parity those of two bits as well. Two nodes within three bits then share a variant that is one bit or less from one
-of them, and whatever meets on such a variant is within three bits, so all of it is linked to one node: as many links as rows, and none lost.
+Fingerprints are 64 bits over the XXH64 hashes of word shingles. Equal fingerprints are one node from the start. Every node emits all variants within half of RADIUS = 3
+bits: those of one bit and itself and, since half of three is one and a half, nodes of even parity also those of two bits that lie in the same half of the fingerprint. Two nodes
+that differ in one or two bits share a variant of one bit; of two that differ in three bits one has even parity, and two of the three bits lie in one half, so its
+variant with these two flipped is a variant of one bit of the other. Variants are shuffled; whatever is on a variant is within three bits of the nodes that are within
+one bit of it, so all of it is linked to the smallest of those: as many links as rows at most, and no link lost. A variant has 1,057 nodes around it
+at most, so none is hot. The 561 variants of a node, in the mean, are dealt in SHARES, one after the other, so that only a share is on disk at a time.
 
 Defined results: null text counts as empty; a text with no word has fingerprint zero and links like any other; repeated rows are linked; a row
 with a null doc_id gets the component of its fingerprint and never names one, unless all doc_ids there are null, when component_id is null;
-an empty table gives an empty result; other columns are ignored by near_duplicates and kept by drop_near_copies.
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import smallest_reachable
-from .shared import filled, saved, text_of
+from .shared import dropped, filled, partitions, saved, swept
 
 RADIUS, WORDS, SEED = 3, 3, 42
-#: Nodes that own a half, beyond which whole variants take over.
-HOT = 24
-MASK = (1 << 32) - 1
+#: Shares of the variants that are on disk one after the other, variants of a task, and nodes whose variants are made at once.
+SHARES, TASK_ROWS, GROUP = 4, 2_000_000, 256
+BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+#: What flips no bit or one, and two bits of the same half.
+ONE = np.concatenate([np.zeros(1, np.uint64), BITS])
+TWO = np.array([BITS[i] | BITS[j] for i in range(64) for j in range(i) if i // 32 == j // 32])
 
 
 def fingerprint(text: bytes) -> int:
@@ -58,51 +61,80 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, node long")
 
 
-def _half(node: Column, upper: bool) -> Column:
-    """A half, with the bit above it telling which."""
-    return F.shiftrightunsigned(node, 32) + F.lit(1 << 32) if upper else node.bitwiseAND(F.lit(MASK))
+def _rows(variant: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(variant.view(np.int64)), pa.array(node.view(np.int64))], names=["variant", "node"])
 
 
-def _owned(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", F.explode(F.array(_half(F.col("node"), False), _half(F.col("node"), True))).alias("key"))
+def _variants(share: int):
+    """A share of the variants of nodes."""
 
+    def emit(batches):
+        for batch in batches:
+            nodes = batch.column("node").to_numpy().view(np.uint64)
+            for first in range(0, len(nodes), GROUP):
+                own = nodes[first : first + GROUP]
+                even = own[np.bitwise_count(own) % 2 == 0]
+                variants = np.concatenate([(own[:, None] ^ ONE).ravel(), (even[:, None] ^ TWO).ravel()])
+                owners = np.concatenate([np.repeat(own, len(ONE)), np.repeat(even, len(TWO))])
+                keep = (variants * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62) == share  # SHARES is four
+                yield _rows(variants[keep], owners[keep])
 
-def _one_bit_keys(nodes: DataFrame) -> DataFrame:
-    """Each node with its halves and their variants of one bit."""
-    flips = F.array(F.lit(0), *(F.lit(1 << i) for i in range(32)))
-    return _owned(nodes).select("node", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
+    return emit
 
 
-def _signed(bits: int) -> int:
-    return bits - (1 << 64) if bits >> 63 else bits
+def _linked(centres, chains: bool):
+    """Links between what meets on a variant: all of it to the smallest of centres(variant, node) or, with chains, also each to the next."""
 
+    def link(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        variant, node = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("variant", "node"))
+        del held
+        order = np.argsort(variant)
+        alone = np.ones(len(order) + 1, bool)
+        alone[1:-1] = variant[order[1:]] != variant[order[:-1]]
+        order = order[~(alone[:-1] & alone[1:])]  # most variants have one node
+        variant, node = variant[order], node[order]
+        own = centres(variant, node)
+        order = np.lexsort((node, ~own, variant))
+        variant, node, own = variant[order], node[order], own[order]
+        at = np.arange(len(node))
+        first = np.ones(len(node), bool)
+        first[1:] = variant[1:] != variant[:-1]
+        head = np.maximum.accumulate(np.where(first, at, 0))
+        hit = own[head] & (at != head)
+        pairs = [np.stack([node[head[hit]], node[hit]])]
+        if chains:
+            hit[1:] &= ~first[:-1]
+            hit[:1] = False
+            pairs.append(np.stack([node[at[hit] - 1], node[at[hit]]]))
+        pairs = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-def ball_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that join all nodes within three bits of one another, at most as many as variants emitted."""
-    ones = F.array(F.lit(0), *(F.lit(_signed(1 << i)) for i in range(64)))
-    twos = F.array(*(F.lit(_signed(1 << i | 1 << j)) for i in range(64) for j in range(i)))
-    near = nodes.select("node", F.explode(F.transform(ones, lambda f: F.col("node").bitwiseXOR(f))).alias("variant"))
-    centres = saved(near.groupBy("variant").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")), "centres")
-    even = nodes.where(F.bit_count("node") % 2 == 0)
-    far = even.select("node", F.explode(F.transform(twos, lambda f: F.col("node").bitwiseXOR(f))).alias("variant"))
-    links = far.join(centres, "variant").union(near.join(centres.where("n > 1"), "variant"))
-    return links.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    return link
+
+
+def met(variants: DataFrame, rows: int, centres, chains: bool = False) -> DataFrame:
+    """(a, b): links between the nodes of a table (variant, node) of about so many rows."""
+    tasks = max(partitions(variants.sparkSession), -(-rows // TASK_ROWS))
+    return variants.repartition(tasks, "variant").mapInArrow(_linked(centres, chains), "a long, b long").distinct()
+
+
+def _within_one(variant: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((variant ^ node).view(np.uint64)) <= 1
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (node) within RADIUS bits: their components are those of all such pairs."""
-    # owners of each half: one row for a hot half, its nodes otherwise
-    owned = _owned(nodes)
-    sizes = owned.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = saved(sizes.where(F.col("n") > HOT).select("key"), "hot-halves")
-    cold = owned.join(hot, "key", "left_anti").select("key", F.col("node").alias("owner"))
-    owners = cold.union(hot.select("key", F.lit(None).cast("long").alias("owner")))
-    within = F.bit_count(F.col("node").bitwiseXOR(F.col("owner"))) <= RADIUS
-    # the larger of two nodes finds the smaller; where the smaller one's half is hot, both touch it
-    met = _one_bit_keys(nodes).join(owners, "key").where(F.col("owner").isNull() | ((F.col("node") > F.col("owner")) & within))
-    met = saved(met.select(F.col("node").alias("a"), F.col("owner").alias("b")).distinct(), "met")
-    touching = met.where("b is null").select(F.col("a").alias("node")).distinct()
-    return met.where("b is not null").union(ball_links(saved(touching, "touching")))
+    spark, rows = nodes.sparkSession, nodes.count() * (len(ONE) + len(TWO) // 2) // SHARES
+    spread = nodes.repartition(partitions(spark))
+    out = None
+    for share in range(SHARES):
+        found = saved(met(spread.mapInArrow(_variants(share), "variant long, node long"), rows, _within_one), "links")
+        swept(spark)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -111,19 +143,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = saved(prints.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = smallest_reachable(links(nodes.select("node")))
     # the smallest doc_id of a component, through its root
-    member = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
+    member = nodes.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = saved(member.join(smallest, "root").select("node", "component_id"), "members")
-    return prints.join(found, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component: that with the smallest doc_id, with its columns. Of rows that share that doc_id the
-    first by text stays; rows with a null doc_id all stay, since nothing names them."""
-    found = near_duplicates(docs)
-    place = F.col("doc_id").cast("long").alias("place")
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(place).distinct()
-    rows = docs.select(place, F.struct("*").alias("row"), text_of().alias("text"))
-    same = Window.partitionBy("place").orderBy("text")
-    named = rows.join(stay, "place").withColumn("copy", F.row_number().over(same)).where("copy = 1").select("row.*")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = saved(member.join(smallest.hint("merge"), "root").select("node", "component_id"), "members")
+    dropped(nodes)
+    return prints.join(found.hint("merge"), "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
