@@ -13,6 +13,8 @@ rows with a null doc_id all stay, since nothing names them; an empty table gives
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,15 +27,15 @@ from .simhash import met
 WORDS, LEAST = 5, 0.8
 SEED = 42
 #: Bits of a set's fingerprint; parts of them, and bits of a part; parts whose variants are on disk at a time.
-BITS, TABLES, PART, TABLES_AT_ONCE = 256, 32, 32, 8
+BITS, TABLES, PART, TABLES_AT_ONCE = 1024, 32, 32, 4
 #: Bits in which near sets differ, at most: four standard deviations over the mean at LEAST.
-APART = 61
+APART = 201
 #: Shingles whose bits are counted at a time, and sets that a worker remembers while it compares.
 RUN, MOST_SETS = 4096, 64
 
 _rng = np.random.default_rng(SEED)
 FACTORS = _rng.integers(0, 1 << 63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
-PLACES = np.stack([_rng.permutation(BITS)[:PART] for _ in range(TABLES)])
+PLACES = _rng.permutation(BITS)[: TABLES * PART].reshape(TABLES, PART)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -85,8 +87,8 @@ def _variants(tables: range):
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
             for t in tables:
                 part = np.ascontiguousarray(np.packbits(bits[:, PLACES[t]], axis=1, bitorder="little")).view("<u4").astype(np.uint64).ravel()
-                key = (part[:, None] ^ flips) | np.uint64(t << PART)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, len(flips)))], names=["variant", "node"])
+                key = (part ^ flips[:, None]) | np.uint64(t << PART)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.tile(node, len(flips)))], names=["variant", "node"])
 
     return emit
 
@@ -101,21 +103,21 @@ def _fitting(batches):
         p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("a_print", "b_print"))
         x, y = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
         fit = (np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= APART) & (np.minimum(x, y) >= LEAST * np.maximum(x, y))
-        yield batch.select(["a", "b"]).filter(pa.array(fit))
+        yield batch.select(["a_node", "b_node"]).filter(pa.array(fit)).rename_columns(["a", "b"])
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a table (node, size, print), a < b, that met and may be near."""
+    """Pairs (a, b) of a table (node, at, size, print), a < b, that met and may be near. at: a small number of each node, which takes less room in the shuffle."""
     spark, rows = nodes.sparkSession, nodes.count() * (PART + 1) * TABLES_AT_ONCE
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("print").alias(f"{c}_print")).hint("merge")
-    spread = nodes.select("node", "print").repartition(partitions(spark))
-    out = None
+    spread = nodes.select(F.col("at").alias("node"), "print").repartition(partitions(spark))
+    shares = []
     for first in range(0, TABLES, TABLES_AT_ONCE):
-        pairs = met(spread.mapInArrow(_variants(range(first, first + TABLES_AT_ONCE)), "variant long, node long"), rows, _all, chains=True)
-        found = saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_fitting, "a long, b long"), "candidates")
+        variants = spread.mapInArrow(_variants(range(first, first + TABLES_AT_ONCE)), "variant long, node long")
+        shares.append(saved(met(variants, rows, _all, chains=True), "met"))
         swept(spark)
-        out = found if out is None else out.union(found)
-    return out.distinct()
+    pairs = functools.reduce(DataFrame.union, shares).distinct()
+    side = lambda c: nodes.select(F.col("at").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "print"))).hint("merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_fitting, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _compared(batches):
@@ -148,7 +150,7 @@ def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of rows (node, size, print, text): their components are those of all near pairs among the candidates."""
-    nodes = saved(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("print").alias("print")), "nodes")
+    nodes = saved(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("print").alias("print")).withColumn("at", F.monotonically_increasing_id()), "nodes")
     pairs = saved(candidates(nodes), "pairs")
     star = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
     first = saved(compared(star, rows), "likeness")
