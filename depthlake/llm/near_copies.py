@@ -4,7 +4,7 @@ Two sets of likeness 0.8 differ in about 10 of 64 bits of a SimHash, too many fo
 a fixed permutation, are hashed as in simhash: every part emits its variants of one bit or none, variants are shuffled, and what meets differs in two
 bits of a part at most. Sets of likeness 0.8 meet in a part with probability 0.12, in one of the 32 with 0.98; at 0.85 with 0.998; above that nearly always.
 What links is never the estimate: candidate pairs whose whole fingerprints are near enough are compared set by set.
-Equal sets are one node from the start. Of a variant's nodes all meet the smallest, and each the next. Each node is compared with the smallest of all that it met first, which joins a large group of
+Equal sets are one node from the start. Of a variant's nodes all meet the smallest, and each the next. Each node is compared first with that of what it met whose fingerprint is nearest, which joins a large group of
 near copies with one pair a row; then the pairs that components still part are compared.
 
 Defined results: words are those of simhash; null text counts as empty; a text of fewer than WORDS words has one shingle, a text without words the empty one;
@@ -28,8 +28,8 @@ WORDS, LEAST = 5, 0.8
 SEED = 42
 #: Bits of a set's fingerprint; parts of them, and bits of a part; parts whose variants are on disk at a time.
 BITS, TABLES, PART, TABLES_AT_ONCE = 1024, 32, 32, 4
-#: Bits in which near sets differ, at most: four standard deviations over the mean at LEAST.
-APART = 201
+#: Bits in which near sets differ, at most: three standard deviations over the mean at LEAST, which all but one in 700 pairs of that likeness keep, and more of the nearer ones.
+APART = 189
 #: Shingles whose bits are counted at a time, and sets that a worker remembers while it compares.
 RUN, MOST_SETS = 4096, 64
 
@@ -102,12 +102,14 @@ def _fitting(batches):
     for batch in batches:
         p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("a_print", "b_print"))
         x, y = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
-        fit = (np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= APART) & (np.minimum(x, y) >= LEAST * np.maximum(x, y))
-        yield batch.select(["a_node", "b_node"]).filter(pa.array(fit)).rename_columns(["a", "b"])
+        apart = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+        fit = (apart <= APART) & (np.minimum(x, y) >= LEAST * np.maximum(x, y))
+        own = [*(batch.column(c) for c in ("a_node", "b_node")), pa.array(apart)]
+        yield pa.RecordBatch.from_arrays(own, names=["a", "b", "apart"]).filter(pa.array(fit))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a table (node, at, size, print), a < b, that met and may be near. at: a small number of each node, which takes less room in the shuffle."""
+    """Pairs (a, b, apart) of a table (node, at, size, print), a < b, that met and may be near; apart: the bits in which they differ. at: a small number of each node, which takes less room in the shuffle."""
     spark, rows = nodes.sparkSession, nodes.count() * (PART + 1) * TABLES_AT_ONCE
     spread = nodes.select(F.col("at").alias("node"), "print").repartition(partitions(spark))
     shares = []
@@ -117,7 +119,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
         swept(spark)
     pairs = functools.reduce(DataFrame.union, shares).distinct()
     side = lambda c: nodes.select(F.col("at").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "print"))).hint("merge")
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_fitting, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_fitting, "a long, b long, apart long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart")
 
 
 def _compared(batches):
@@ -152,7 +154,7 @@ def links(rows: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of rows (node, size, print, text): their components are those of all near pairs among the candidates."""
     nodes = saved(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("print").alias("print")).withColumn("at", F.monotonically_increasing_id()), "nodes")
     pairs = saved(candidates(nodes), "pairs")
-    star = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    star = saved(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("first")).select("first.a", "b"), "star")
     first = saved(compared(star, rows), "likeness")
     near = F.col("likeness") >= LEAST
     # what is still in more than one component
