@@ -324,7 +324,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _counted(batches):
     for batch in batches:
-        for first, rows in slices(batch.column("text")):
+        for first, rows in slices(batch.column("text"), 4 << 20):
             counts = pc.value_counts(cut_before_spaces(filled(batch.column("text").slice(first, rows))).flatten())
             yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["word", "n"])
 
@@ -355,7 +355,7 @@ def _digested(path: str, shared):
             encoder = _encoders[number] = Encoder(path, shared.value)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            for first, rows in slices(batch.column("text")):
+            for first, rows in slices(batch.column("text"), 4 << 20):
                 ids, at = encoder.encode(filled(batch.column("text").slice(first, rows)))
                 raw = ids.astype("<u4")
                 decoded = encoder.merges.decode(ids, at)

@@ -131,7 +131,7 @@ class Memory:
         self.lengths[n : n + len(strings)] = lengths
         self.known.update(zip(strings, range(n, n + len(strings))))
         self.used = need
-        self.size += 160 * len(strings) + sum(map(len, strings)) + 4 * len(ids)
+        self.size += 220 * len(strings) + sum(map(len, strings)) + 4 * len(ids)
 
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.lengths[slots]

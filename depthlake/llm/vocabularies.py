@@ -22,7 +22,7 @@ class ChunkEncoder:
 
     def __init__(self, cut, lower: bool = False):
         self.cut, self.lower = cut, lower
-        self.chunks, self.parts = Remembered(self._new_chunks), Remembered(self._new_parts, 48 << 20)
+        self.chunks, self.parts = Remembered(self._new_chunks), Remembered(self._new_parts, 32 << 20)
 
     def encode_parts(self, parts: list[str]) -> list[list[int]]:
         """Ids of words and of runs of marks."""
