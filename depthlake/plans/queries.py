@@ -219,11 +219,11 @@ def flatten_trades(spark, sf_dir):
     return ingest.flatten_trades(v.messages(spark, sf_dir, "trades"))
 
 
-def _same(*names: str) -> str:
-    return ", ".join(f'floor(value) AS "{x}"' for x in names)
+def _apart(*names: str) -> str:
+    return ", ".join(f'floor(value) + {k} AS "{x}"' for k, x in enumerate(names))
 
 
-@query(f"""SELECT 'INST-' || (user_id % 4) AS "instId", 'SWAP' AS "instType", epoch_ns(ts) // 1000000 AS "timestamp", {_same("last", "lastSz", "askPx", "askSz", "bidPx", "bidSz", "open24h", "high24h", "low24h", "volCcy24h", "vol24h", "sodUtc0", "sodUtc8")} FROM events""")
+@query(f"""SELECT 'INST-' || (user_id % 4) AS "instId", 'SWAP' AS "instType", epoch_ns(ts) // 1000000 AS "timestamp", {_apart("last", "lastSz", "askPx", "askSz", "bidPx", "bidSz", "open24h", "high24h", "low24h", "volCcy24h", "vol24h", "sodUtc0", "sodUtc8")} FROM events""")
 def flatten_tickers(spark, sf_dir):
     return ingest.flatten_tickers(v.messages(spark, sf_dir, "tickers"))
 
@@ -245,7 +245,7 @@ def flatten_liquidations(spark, sf_dir):
     return ingest.flatten_liquidations(v.messages(spark, sf_dir, "liquidations"))
 
 
-@query(f"""SELECT 'INST-' || (user_id % 4) AS "instId", epoch_ns(ts) // 1000000 AS "timestamp", {_same("idxPx", "high24h", "low24h", "open24h", "sodUtc0", "sodUtc8")} FROM events""")
+@query(f"""SELECT 'INST-' || (user_id % 4) AS "instId", epoch_ns(ts) // 1000000 AS "timestamp", {_apart("idxPx", "high24h", "low24h", "open24h", "sodUtc0", "sodUtc8")} FROM events""")
 def flatten_index_tickers(spark, sf_dir):
     return ingest.flatten_index_tickers(v.messages(spark, sf_dir, "index_tickers"))
 

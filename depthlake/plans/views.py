@@ -126,14 +126,14 @@ def messages(spark: SparkSession, sf_dir: str, channel: str) -> DataFrame:
     n, inst = F.col("event_id"), F.concat(F.lit("INST-"), (F.col("user_id") % 4).cast("string"))
     ts, value, arg = text(_ms()).alias("ts"), text(F.floor("value")), F.struct(inst.alias("instId")).alias("arg")
     none = F.lit(None).cast("string")  # JSON leaves nulls out
-    same = lambda *names: [value.alias(x) for x in names]
+    apart = lambda *names: [text(F.floor("value") + k).alias(x) for k, x in enumerate(names)]  # noqa: E731  so that no two columns can be mistaken
     shapes = {
         "trades": F.struct(F.array(F.struct(inst.alias("instId"), ts, text(n).alias("tradeId"), value.alias("px"), text(n % 50).alias("sz"), F.when(n % 2 == 0, "buy").otherwise("sell").alias("side"))).alias("data")),
-        "tickers": F.struct(F.array(F.struct(F.lit("SWAP").alias("instType"), inst.alias("instId"), ts, *same("last", "lastSz", "askPx", "askSz", "bidPx", "bidSz", "open24h", "high24h", "low24h", "volCcy24h", "vol24h", "sodUtc0", "sodUtc8"))).alias("data")),
+        "tickers": F.struct(F.array(F.struct(F.lit("SWAP").alias("instType"), inst.alias("instId"), ts, *apart("last", "lastSz", "askPx", "askSz", "bidPx", "bidSz", "open24h", "high24h", "low24h", "volCcy24h", "vol24h", "sodUtc0", "sodUtc8"))).alias("data")),
         "open_interest": F.struct(F.array(F.struct(F.lit("SWAP").alias("instType"), inst.alias("instId"), ts, text(n * 3).alias("oi"), value.alias("oiCcy"))).alias("data")),
         "mark_price": F.struct(F.array(F.struct(F.lit("SWAP").alias("instType"), inst.alias("instId"), ts, value.alias("markPx"))).alias("data")),
         "liquidations": F.struct(F.array(F.struct(F.lit("SWAP").alias("instType"), inst.alias("instId"), F.col("event_type").alias("uly"), F.array(F.struct(F.lit("buy").alias("side"), value.alias("bkPx"), none.alias("sz"), ts), F.struct(none.alias("side"), none.alias("bkPx"), text(n).alias("sz"), ts)).alias("details"))).alias("data")),
-        "index_tickers": F.struct(arg, F.array(F.struct(ts, *same("idxPx", "high24h", "low24h", "open24h", "sodUtc0", "sodUtc8"))).alias("data")),
+        "index_tickers": F.struct(arg, F.array(F.struct(ts, *apart("idxPx", "high24h", "low24h", "open24h", "sodUtc0", "sodUtc8"))).alias("data")),
     }
     if channel == "books":
         b = raw_books(spark, sf_dir)
