@@ -1,8 +1,10 @@
 """Secret scan: base patterns, and structural confirmation of base64 and hex candidates.
 
 A linear pattern picks the texts that can hold a secret. There the base patterns run as they stand; base64 and hex candidates are decoded and reported only
-when their structure holds: a signed token whose header is JSON with an algorithm, an OpenSSH key whose length-prefixed fields
-fit, or a DER key whose nested lengths fill their parents exactly and whose fields are those of a private key.
+when their structure holds: a signed token whose header is JSON with an algorithm and whose payload is JSON, an OpenSSH key whose length-prefixed
+fields fit in their stated number, or a DER key whose nested lengths fill their parents exactly and whose fields are those of a private key (RSA,
+DSA, elliptic curves, these within PKCS #8, or encrypted PKCS #8). Base64 may be wrapped, with or without armour, armour may have headers, ends of
+lines may be written as escapes, and hex may mix cases. An old encrypted key is taken on its headers and whole cipher blocks.
 
 Defined results: null text counts as empty and has no span; spans of different kinds may overlap; repeated rows are scanned each;
 rows with a null doc_id keep it; an empty table gives an empty result; other columns are ignored by find_secrets and kept by mask_secrets.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -33,68 +36,126 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-POSSIBLE = r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|eyJ|PRIVATE KEY|[A-Za-z0-9+/]{40}|[0-9A-F]{64}"
+POSSIBLE = r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|eyJ|PRIVATE KEY|[A-Za-z0-9+/]{40}|[0-9A-Fa-f]{64}"
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Fa-f])")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----((?:[^-]|-(?!----))+)-----END \1PRIVATE KEY-----")
+HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
+#: Ends of lines, as they are or written as an escape.
+WRAP = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*")
+#: Base64, wrapped or not, and the places in it where a key can begin.
+RUN = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/]+={0,2})*")
+BEGIN = re.compile(r"(?:(?<![A-Za-z0-9+])|(?<=\\n))(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)")
+LETTER = re.compile(r"[A-Za-z0-9+/]")
 
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+MAGIC = b"openssh-key-v1\0"
+
+# Object identifiers of key algorithms and of password-based encryption: fixed values.
+RSA, DSA, CURVE = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a8648ce3d0201")
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def der_head(data: bytes, at: int = 0) -> tuple[int, int, int] | None:
+    """(tag, where its content begins, where that ends) of the field at a place; the end may lie beyond data. None if there is no head."""
+    if at + 2 > len(data):
+        return None
+    tag, size, at = data[at], data[at + 1], at + 2
+    if size & 0x80:
+        width = size & 0x7F
+        if not 1 <= width <= 4 or at + width > len(data):
+            return None
+        size, at = int.from_bytes(data[at : at + width], "big"), at + width
+    return tag, at, at + size
 
 
 def der_fields(data: bytes) -> list[tuple[int, bytes]] | None:
     """(tag, content) of fields that fill data exactly; None if a length does not fit."""
     fields, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
-            return None
-        tag, size, at = data[at], data[at + 1], at + 2
-        if size & 0x80:
-            width = size & 0x7F
-            if not 1 <= width <= 4 or at + width > len(data):
-                return None
-            size, at = int.from_bytes(data[at : at + width], "big"), at + width
-        if at + size > len(data):
+        head = der_head(data, at)
+        if head is None or head[2] > len(data):
             return None
-        fields.append((tag, data[at : at + size]))
-        at += size
+        fields.append((head[0], data[head[1] : head[2]]))
+        at = head[2]
     return fields
 
 
-def is_der_key(data: bytes) -> bool:
-    """True for RSA, PKCS #8 and elliptic-curve private keys."""
+def sequence_of(data: bytes) -> list[tuple[int, bytes]]:
+    """The fields of the one SEQUENCE that data is; none if it isn't."""
     outer = der_fields(data)
-    if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
+    return (der_fields(outer[0][1]) or []) if outer and len(outer) == 1 and outer[0][0] == SEQUENCE else []
+
+
+def is_rsa_key(fields: list[tuple[int, bytes]]) -> bool:
+    """Version, modulus, exponents, primes and their coefficients; a key of more primes lists these at the end."""
+    numbers = [value for tag, value in fields[:9] if tag == INTEGER and value]
+    more = fields[9:]
+    return len(numbers) == 9 and (not more if numbers[0] == b"\0" else len(more) == 1 and more[0][0] == SEQUENCE and bool(der_fields(more[0][1])))
+
+
+def is_dsa_key(fields: list[tuple[int, bytes]]) -> bool:
+    return len(fields) == 6 and all(tag == INTEGER and value for tag, value in fields) and fields[0][1] == b"\0"
+
+
+def is_curve_key(fields: list[tuple[int, bytes]]) -> bool:
+    """Version 1, a scalar, and no more than the tagged curve and public point."""
+    if len(fields) < 2 or fields[0] != (INTEGER, b"\1") or fields[1][0] != OCTETS or not 16 <= len(fields[1][1]) <= 66:
+        return False
+    return [tag for tag, _ in fields[2:]] in ([], [0xA0], [0xA1], [0xA0, 0xA1]) and all(der_fields(value) for _, value in fields[2:])
+
+
+def is_wrapped_key(fields: list[tuple[int, bytes]]) -> bool:
+    """PKCS #8: version, algorithm, and octets that hold a key of that algorithm; attributes and a public key may follow."""
+    if len(fields) < 3 or [tag for tag, _ in fields[:3]] != [INTEGER, SEQUENCE, OCTETS] or fields[0][1] not in (b"\0", b"\1"):
         return False
-    fields = der_fields(outer[0][1])
-    if not fields or len(fields) < 2 or fields[0][0] != INTEGER or fields[0][1] not in (b"\0", b"\1"):
+    algorithm, key = der_fields(fields[1][1]), fields[2][1]
+    if not algorithm or algorithm[0][0] != OBJECT or any(tag not in (0xA0, 0x81, 0xA1) for tag, _ in fields[3:]):
         return False
-    tags = [tag for tag, _ in fields]
-    if len(tags) >= 9 and set(tags[:9]) == {INTEGER}:
-        return True
-    if tags[1] == OCTETS:
-        return 16 <= len(fields[1][1]) <= 66
-    if tags[1] == SEQUENCE and len(tags) > 2 and tags[2] == OCTETS:
-        algorithm = der_fields(fields[1][1])
-        return bool(algorithm) and algorithm[0][0] == OBJECT
-    return False
-
-
-def is_openssh_key(data: bytes) -> bool:
-    """The magic, three length-prefixed names, the number of keys, and as many fields after it."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    name = algorithm[0][1]
+    if name == RSA:
+        return is_rsa_key(sequence_of(key))
+    if name == CURVE:
+        return is_curve_key(sequence_of(key))
+    inner = der_fields(key)
+    # DSA keeps one number, the Edwards and Montgomery curves one string
+    return bool(inner) and len(inner) == 1 and bool(inner[0][1]) and inner[0][0] == (INTEGER if name == DSA else OCTETS)
+
+
+def is_encrypted_key(fields: list[tuple[int, bytes]]) -> bool:
+    """Encrypted PKCS #8: a password-based algorithm with its parameters, and octets."""
+    if [tag for tag, _ in fields] != [SEQUENCE, OCTETS] or len(fields[1][1]) < 16:
         return False
-    at = len(magic)
-    for step in range(5):
-        if step == 3:
+    algorithm = der_fields(fields[0][1])
+    return bool(algorithm) and len(algorithm) == 2 and algorithm[0][0] == OBJECT and algorithm[0][1].startswith(ENCRYPTIONS) and algorithm[1][0] == SEQUENCE and bool(der_fields(algorithm[1][1]))
+
+
+def is_der_key(data: bytes) -> bool:
+    """True for RSA, DSA, elliptic-curve, PKCS #8 and encrypted PKCS #8 private keys, whose nested lengths fill data to the last byte."""
+    fields = sequence_of(data)
+    return is_rsa_key(fields) or is_dsa_key(fields) or is_curve_key(fields) or is_wrapped_key(fields) or is_encrypted_key(fields)
+
+
+def openssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH key that data begins with: the magic, cipher, derivation and its options, the number of keys, as many public keys, and the private part. 0 if a length does not fit."""
+    if not data.startswith(MAGIC):
+        return 0
+    at, left = len(MAGIC), 3
+    for part in ("names", "keys"):
+        if part == "keys":
             keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
             if not 1 <= keys <= 16:
-                return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        if at > len(data):
-            return False
-    return True
+                return 0
+            left = keys + 1
+        for _ in range(left):
+            size, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+            if at + size > len(data) or (part == "keys" and size < 16):
+                return 0
+            at += size
+    return at
+
+
+def is_key(data: bytes) -> bool:
+    return is_der_key(data) or (bool(data) and openssh_size(data) == len(data))
 
 
 def unbase64(text: str, url: bool = False) -> bytes:
@@ -107,11 +168,58 @@ def unbase64(text: str, url: bool = False) -> bytes:
 
 
 def is_signed_token(text: str) -> bool:
+    """A JSON header that names an algorithm, and a JSON payload."""
+    head, payload, _ = text.split(".")
     try:
-        header = json.loads(unbase64(text.split(".")[0], url=True))
-    except ValueError:
+        header, claims = json.loads(unbase64(head, url=True)), json.loads(unbase64(payload, url=True))
+    except (ValueError, RecursionError):
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str)
+    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
+
+
+def is_armoured_key(body: str) -> bool:
+    """Base64 of a key in lines, real or written as escapes; or, below headers that say so, of whole cipher blocks."""
+    lines = [line.strip() for line in WRAP.split(body)]
+    headers = dict(line.split(":", 1) for line in lines if ":" in line)
+    data = unbase64("".join("".join(line.split()) for line in lines if ":" not in line))
+    if headers.get("Proc-Type", "").strip() == "4,ENCRYPTED":
+        return "," in headers.get("DEK-Info", "") and len(data) >= 16 and len(data) % 8 == 0
+    return is_key(data)
+
+
+def base64_keys(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the keys in base64 runs. A key says itself how long it is, so text may stand before it (a path) and on the lines after it."""
+    found = []
+    for run in RUN.finditer(text):
+        begins = [m.start() for m in BEGIN.finditer(text, run.start(), run.end())]
+        if not begins:
+            continue
+        places, at = [], run.start()
+        for gap in WRAP.finditer(text, run.start(), run.end()):
+            places.extend(range(at, gap.start()))
+            at = gap.end()
+        places.extend(range(at, run.end()))
+        letters, end = "".join(map(text.__getitem__, places)), 0
+        for begin in begins:
+            if begin < end:
+                continue
+            k = bisect.bisect_left(places, begin)
+            head = unbase64(letters[k : k + 16])
+            if head.startswith(MAGIC[:9]):
+                size = openssh_size(unbase64(letters[k:].split("=")[0][: (len(places) - k) // 4 * 4 + 3]))
+            else:
+                outer = der_head(head)
+                size = outer[2] if outer and outer[0] == SEQUENCE and head[outer[1] : outer[1] + 1] in (b"\x02", b"\x30") else 0
+            last = k + (size * 8 + 5) // 6
+            if not size or last > len(places) or (head[0] == SEQUENCE and not is_der_key(unbase64(letters[k:last]))):
+                continue
+            stop = places[last - 1] + 1
+            while stop < len(text) and text[stop] == "=" and stop - places[last - 1] <= -(last - k) % 4:
+                stop += 1
+            if LETTER.match(text, stop) is None:
+                found.append((begin, stop))
+                end = stop
+    return found
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -120,9 +228,8 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     spans += [(m.start(), 3, m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    is_key = lambda data: is_der_key(data) or is_openssh_key(data)
-    spans += [(m.start(), 4, m.end()) for m in ARMOUR.finditer(text) if is_key(unbase64("".join(m[2].split())))]
-    spans += [(m.start(), 5, m.end()) for m in BASE64.finditer(text) if is_key(unbase64(m[0]))]
+    spans += [(m.start(), 4, m.end()) for m in ARMOUR.finditer(text) if is_armoured_key(m[2])]
+    spans += [(a, 5, b) for a, b in base64_keys(text)]
     spans += [(m.start(), 6, m.end()) for m in HEX_BYTES.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     return sorted(spans)
 

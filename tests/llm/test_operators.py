@@ -308,6 +308,127 @@ def test_secrets(spark):
     assert secret_scan.secret_digest(empty(spark)).collect() == [] and secret_scan.mask_secrets(empty(spark)).collect() == []
 
 
+def string(data):
+    return len(data).to_bytes(4, "big") + data
+
+
+def openssh(keys=1, listed=1, tail=b""):
+    return b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + keys.to_bytes(4, "big") + string(b"p" * 51) * listed + string(b"q" * 64) + tail
+
+
+def algorithm(name, *more):
+    return der(0x30, der(6, name), *more)
+
+
+def pkcs8(name, inner):
+    return der(0x30, der(2, b"\0"), algorithm(name), der(4, inner))
+
+
+ENCRYPTED = der(0x30, algorithm(bytes.fromhex("2a864886f70d01050d"), der(0x30, der(4, b"salt"))), der(4, b"c" * 64))
+KEYS = {
+    "rsa": RSA, "many primes": der(0x30, der(2, b"\1"), *(der(2, b"a" * 20) for _ in range(8)), der(0x30, der(0x30, der(2, b"r")))), "dsa": der(0x30, der(2, b"\0"), *(der(2, b"d" * 20) for _ in range(5))),
+    "curve": EC, "curve and point": der(0x30, der(2, b"\1"), der(4, b"k" * 32), der(0xA0, der(6, b"oid")), der(0xA1, der(3, b"\0point"))),
+    "rsa in pkcs8": pkcs8(secret_scan.RSA, RSA), "curve in pkcs8": pkcs8(secret_scan.CURVE, EC), "edwards": pkcs8(b"\x2b\x65\x70", der(4, b"s" * 32)), "encrypted": ENCRYPTED, "openssh": openssh(), "two keys": openssh(2, 2),
+}
+NO_KEYS = {
+    "any octets": pkcs8(secret_scan.RSA, b"o" * 64), "curve as rsa": pkcs8(secret_scan.RSA, EC), "octets and junk": pkcs8(b"\x2b\x65\x70", der(4, b"s" * 32) + b"j"), "trailing": RSA + b"\0", "short": RSA[:-1],
+    "eight numbers": der(0x30, der(2, b"\0"), *(der(2, b"a" * 40) for _ in range(7))), "digest": der(0x30, algorithm(bytes.fromhex("608648016503040201"), der(5)), der(4, b"h" * 32)), "bad field": der(0x30, der(2, b"\1"), der(4, b"k" * 32), der(0xA0, b"\6\5oid")),
+    "seven keys, one field": openssh(7), "openssh and junk": openssh(tail=b"junk"), "no keys": openssh(0, 0),
+}
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_key_structures(name):
+    data = KEYS[name]
+    kinds = lambda text: [(secret_scan.KINDS[k], a, b) for a, k, b in secret_scan.spans_of(text) if k > 2]
+    line, lines = base64.b64encode(data).decode(), base64.encodebytes(data).decode().strip()
+    assert secret_scan.is_key(data) and not secret_scan.is_key(data[:-1])
+    assert kinds(line) == [("key", 0, len(line))] and kinds(f"path/{line}") == [("key", 5, 5 + len(line))]
+    assert kinds(f"here {lines}\nand more") == [("key", 5, 5 + len(lines))] and kinds(f"here {lines}\\nand more".replace("\n", "\\n"))[0][0] == "key"
+    assert kinds(data.hex()[:1] + data.hex()[1:].upper()) == [("hexkey", 0, 2 * len(data))]
+    for armour in (f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----", f"-----BEGIN X PRIVATE KEY-----\nComment: mine\n\n{lines}\n-----END X PRIVATE KEY-----"):
+        assert kinds(armour)[0] == ("pem", 0, len(armour))
+        escaped = armour.replace("\n", "\\n")
+        assert kinds(escaped)[0] == ("pem", 0, len(escaped))
+
+
+@pytest.mark.parametrize("name", NO_KEYS)
+def test_structures_of_no_key(name):
+    data = NO_KEYS[name]
+    whole = base64.b64encode(data).decode()
+    texts = [data.hex(), f"-----BEGIN PRIVATE KEY-----\n{whole}\n-----END PRIVATE KEY-----"]
+    assert not secret_scan.is_key(data) and not any(k in (4, 6) for text in texts for _, k, _ in secret_scan.spans_of(text))
+    # a key in an unarmoured run may have other text after it, but on lines of its own
+    assert name == "openssh and junk" or not any(k == 5 for _, k, _ in secret_scan.spans_of(whole))
+
+
+def test_old_encrypted_keys_and_tokens():
+    pem = lambda head, body: f"-----BEGIN RSA PRIVATE KEY-----\n{head}\n\n{base64.b64encode(body).decode()}\n-----END RSA PRIVATE KEY-----"
+    kinds = lambda text: {secret_scan.KINDS[k] for _, k, _ in secret_scan.spans_of(text)} - set(secret_scan.BASE)
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF"
+    assert kinds(pem(head, b"c" * 64)) == {"pem"} and kinds(pem(head, b"c" * 63)) == set() and kinds(pem("Proc-Type: 4,ENCRYPTED", b"c" * 64)) == set()
+    part = lambda value: base64.urlsafe_b64encode(json.dumps(value).encode()).decode().rstrip("=")
+    assert kinds(f"{part({'alg': 'RS256'})}.{part({'sub': 1})}.c2ln") == {"token"}
+    for bad in (f"{part({'alg': 1})}.{part({})}.c2ln", f"{part({'typ': 'JWT'})}.{part({})}.c2ln", f"{part({'alg': 'RS256'})}.abcd.c2ln", f"{part({'alg': 'RS256'})}.{part([1])}.c2ln"):
+        assert kinds(bad) == set()
+
+
+def test_base_spans_of_all_documents(spark):
+    """Against a scan character by character, without patterns."""
+
+    def runs(text, allowed):
+        at = 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in allowed:
+                end += 1
+            if end > at:
+                yield at, end
+            at = max(end, at + 1)
+
+    def plain(text):
+        letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+        spans = [(a, 2, b) for a, b in runs(text, digits + "abcdef") if b - a >= 24]
+        at = 0
+        while (at := text.find("AKIA", at)) >= 0:
+            end = at + 4
+            while end < len(text) and text[end] in letters + digits:
+                end += 1
+            if end - at >= 20:
+                spans.append((at, 1, end))
+            at = end if end - at >= 20 else at + 1
+        at = 0
+        while at < len(text):
+            low = "".join(c.lower() if c in letters else c for c in text[at : at + 8])
+            word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w)), None)
+            end = at + len(word or "")
+            if word:
+                end += text[end : end + 1] in ('"', "'") and end < len(text)
+                while text[end : end + 1] == " ":
+                    end += 1
+                if end < len(text) and text[end] in ":=":
+                    end += 1
+                    while text[end : end + 1] == " ":
+                        end += 1
+                    end += end < len(text) and text[end] in "\"'"
+                    size = next(runs(text[end:], letters + letters.lower() + digits + "+/_.=-"), (1, 0))
+                    if size[0] == 0:
+                        # a short match is dropped, but what it covers is not looked at again
+                        if size[1] >= 6:
+                            spans.append((at, 0, end + size[1]))
+                        at = end + size[1]
+                        continue
+            at += 1
+        return sorted(spans)
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: [(s.start, secret_scan.KINDS.index(s.kind), s.end) for s in r.spans if s.kind in secret_scan.BASE] for r in secret_scan.find_secrets(docs).collect()}
+    rows = docs.collect()
+    assert len(found) == len(rows) and any(found.values())
+    for row in rows:
+        assert found[row.doc_id] == plain(row.text or "")
+
+
 # --- tokens
 
 
