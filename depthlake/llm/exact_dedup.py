@@ -13,16 +13,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions, saved, text_of
 
-INDEX_SCHEMA = "shard int, levels binary, sizes binary, digests binary, winners binary, counts binary"
+INDEX_SCHEMA = "shard int, levels binary, sizes binary, digests binary, winners binary, named binary, counts binary"
 #: Digests of a shard: 48 bytes a slot, so that a shard takes a few MB.
 SHARD_ROWS = 60_000
-#: A winner's place when the group has no doc_id.
-NO_ID = np.iinfo(np.int64).min
+#: What stands for a winner where the group has no doc_id; a flag tells it from that doc_id itself.
+NO_ID = -(1 << 63)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
@@ -77,18 +77,20 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(x) for x in column), np.uint8).reshape(-1, 32)
 
 
-def _ids(column: pd.Series) -> np.ndarray:
-    return np.array([NO_ID if pd.isna(x) else int(x) for x in column], np.int64)
+def _groups(digests: np.ndarray, winners: np.ndarray, named: np.ndarray, counts: np.ndarray, in_history: bool) -> pd.DataFrame:
+    keep = pd.array(winners, "Int64")
+    keep[~named] = pd.NA
+    return pd.DataFrame({"digest": [x.tobytes() for x in digests], "keep_id": keep, "group_size": counts, "in_history": in_history})
 
 
-def _build_shard(key, group: pd.DataFrame) -> pd.DataFrame:
+def _build_shard(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     digests = _matrix(group.digest)
     bits, sizes = build_hash(digests)
     slots = find_slots(bits, sizes, digests)
     order = np.empty(len(slots), np.int64)
     order[slots] = np.arange(len(slots))
-    row = (int(key[0]), np.packbits(bits).tobytes(), sizes.tobytes(), digests[order].tobytes(), _ids(group.winner)[order].tobytes(), group.n.to_numpy(np.int64)[order].tobytes())
-    return pd.DataFrame([row], columns=["shard", "levels", "sizes", "digests", "winners", "counts"])
+    row = (int(key[0]), np.packbits(bits).tobytes(), sizes.tobytes(), digests[order].tobytes(), group.winner.to_numpy(np.int64)[order].tobytes(), group.named.to_numpy(bool)[order].tobytes(), group.n.to_numpy(np.int64)[order].tobytes())
+    return pd.DataFrame([row], columns=["shard", "levels", "sizes", "digests", "winners", "named", "counts"])
 
 
 def _probe_shard(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
@@ -96,32 +98,34 @@ def _probe_shard(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
     out = []
     slots = np.full(len(new), -1, np.int64)
     digests = _matrix(new.digest)
-    ids, counts = _ids(new.winner), new.n.to_numpy(np.int64)
+    ids, named, counts = new.winner.to_numpy(np.int64), new.named.to_numpy(bool), new.n.to_numpy(np.int64)
     if len(index):
         row = index.iloc[0]
         held = np.frombuffer(row.digests, np.uint8).reshape(-1, 32)
         sizes = np.frombuffer(row.sizes, np.int64)
         bits = np.unpackbits(np.frombuffer(row.levels, np.uint8))[: int(sizes.sum())].astype(bool)
-        winners, n = np.frombuffer(row.winners, np.int64).copy(), np.frombuffer(row.counts, np.int64).copy()
+        winners, known, n = (np.frombuffer(x, t).copy() for x, t in ((row.winners, np.int64), (row.named, bool), (row.counts, np.int64)))
         slots = find_slots(bits, sizes, digests)
         at = np.flatnonzero(slots >= 0)
         slots[at[(held[slots[at]] != digests[at]).any(axis=1)]] = -1  # not this digest byte by byte
         member = slots >= 0
         np.maximum.at(winners, slots[member], ids[member])
+        np.logical_or.at(known, slots[member], named[member])
         np.add.at(n, slots[member], counts[member])
-        out.append(pd.DataFrame({"digest": [x.tobytes() for x in held], "keep_id": [None if x == NO_ID else int(x) for x in winners], "group_size": n, "in_history": True}, columns=["digest", "keep_id", "group_size", "in_history"]).astype({"keep_id": "object"}))
-    rest = np.flatnonzero(slots < 0)
-    out.append(pd.DataFrame({"digest": [digests[i].tobytes() for i in rest], "keep_id": [None if ids[i] == NO_ID else int(ids[i]) for i in rest], "group_size": counts[rest], "in_history": False}).astype({"keep_id": "object"}))
-    out = pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
-    return out.assign(keep_id=out.keep_id.astype("Int64"))
+        out.append(_groups(held, winners, known, n, True))
+    rest = slots < 0
+    out.append(_groups(digests[rest], ids[rest], named[rest], counts[rest], False))
+    return pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
 
 
 def digests_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.unhex(F.sha2(text_of(), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(), 256)).alias("digest"))
 
 
 def _distinct(digests: DataFrame, shard: Column) -> DataFrame:
-    return digests.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n")).withColumn("shard", shard)
+    # no nulls: pandas would make a column that has one a column of doubles
+    winner = F.max("doc_id")
+    return digests.groupBy("digest").agg(F.coalesce(winner, F.lit(NO_ID)).alias("winner"), winner.isNotNull().alias("named"), F.count(F.lit(1)).alias("n")).withColumn("shard", shard)
 
 
 def _shard(n: int) -> Column:
@@ -139,33 +143,33 @@ def look_up(index: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
     return index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_probe_shard, "digest binary, keep_id long, group_size long, in_history boolean")
 
 
-def duplicate_groups(docs: DataFrame) -> DataFrame:
-    """Groups of equal texts: the lower half of the range of doc_id is the history, the rest looks itself up in it."""
-    spark = docs.sparkSession
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+def duplicate_groups(digests: DataFrame) -> DataFrame:
+    """Groups of equal digests of a table (doc_id, digest): the lower half of the range of doc_id is the history, the rest looks itself up in it."""
+    low, high, rows = digests.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     middle = 0 if low is None else (low + high) // 2
-    shards = max(partitions(spark), -(-rows // SHARD_ROWS))
-    digests = digests_of(docs)
+    shards = max(partitions(digests.sparkSession), -(-rows // SHARD_ROWS))
     index = saved(build_index(digests.where(F.col("doc_id") <= middle), shards), "digest-index")
     return look_up(index, digests.where(~F.coalesce(F.col("doc_id") <= middle, F.lit(False))), shards)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, in_history."""
-    # copies are told apart before the join: a window above it would keep Spark from splitting a hot digest
-    same = Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))
-    return (
-        digests_of(docs)
-        .withColumn("copy", F.row_number().over(same))
-        .join(duplicate_groups(docs), "digest")
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "in_history")
+    # rows get a number, so that of repeated ones the first is found by an aggregate: a window would keep Spark from splitting a hot group
+    digests = saved(digests_of(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
+    firsts = digests.groupBy("digest", "doc_id").agg(F.min("row").alias("first"))
+    groups = duplicate_groups(digests.drop("row")).alias("g")
+    winners = groups.join(firsts.alias("f"), (F.col("g.digest") == F.col("f.digest")) & F.col("g.keep_id").eqNullSafe(F.col("f.doc_id"))).select("g.*", "first")
+    return digests.join(winners, "digest").select(
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("first")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "in_history"
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns."""
-    place = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
-    rows = docs.select(F.unhex(F.sha2(text_of(), 256)).alias("digest"), place("doc_id").alias("place"), F.struct("*").alias("row"))
-    winners = duplicate_groups(docs).select("digest", place("keep_id").alias("place"))
-    same = Window.partitionBy("digest", "place").orderBy(F.lit(1))
-    return rows.join(winners, ["digest", "place"]).withColumn("copy", F.row_number().over(same)).where("copy = 1").select("row.*")
+    place = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("place")
+    digests = saved(digests_of(docs), "digests")
+    winners = duplicate_groups(digests).select("digest", place("keep_id"))
+    rows = docs.select(F.unhex(F.sha2(text_of(), 256)).alias("digest"), F.struct("*").alias("row"))
+    # repeated rows become one before the shuffle, as far as a task holds them
+    rows = rows.withColumn("place", F.coalesce(F.col("row.doc_id").cast("long").cast("string"), F.lit(""))).dropDuplicates(["digest", "place"])
+    return rows.join(winners.hint("merge"), ["digest", "place"], "left_semi").select("row.*")

@@ -69,6 +69,15 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(empty(spark)).collect() == [] and exact_dedup.drop_exact_copies(empty(spark)).collect() == []
 
 
+def test_exact_dedup_of_extreme_and_repeated_ids(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    rows = [(least, "a"), (None, "a"), (None, "a"), (most, "b"), (least, "b"), (None, "c"), (None, "c"), *[(7, "d")] * 50, (least, None), (None, "")]
+    found = exact_dedup.exact_dedup(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in found if r.kept) == sorted([(str(least), str(least), 3), (str(most), str(most), 2), ("None", "None", 2), ("7", "7", 50), (str(least), str(least), 2)])
+    kept = exact_dedup.drop_exact_copies(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([(str(least), "a"), (str(most), "b"), ("None", "c"), ("7", "d"), (str(least), "")])
+
+
 def test_perfect_hash():
     digests = np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(5000)), np.uint8).reshape(-1, 32)
     bits, sizes = exact_dedup.build_hash(digests)
