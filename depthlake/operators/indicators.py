@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .book import book_grid, check_grid, grid_points
+from .book import book_grid, check_grid, grid_points, stale_points
 
 
-def book_metric(books: DataFrame, value: Column, n_levels: int, side: str, start: int, end: int, step: int, on_shallow: str = "raise", on_snapshot: str = "replace") -> DataFrame:
+def book_metric(books: DataFrame, value: Column, n_levels: int, side: str, start: int, end: int, step: int, on_shallow: str = "raise", on_snapshot: str = "replace", max_interval: int | None = None, on_stale: str = "raise") -> DataFrame:
     """(instId, side, ts, val): an aggregate over the best n_levels levels (columns lvl, price, size, numOrders) at each grid point.
 
     side: ask, bid, or total for both, each on its own. on_shallow: what a book of fewer levels gives, an error, or null.
+    max_interval: the longest time in milliseconds since an instrument's last row, if there is a limit. on_stale: what a point past it, or before
+    the first row, gives: an error, null, or keep for the value as it stands; staleness goes before depth.
     """
     check_grid(start, end, step, n_levels, side)
+    if on_stale not in ("raise", "null", "keep"):
+        raise ValueError(f"on_stale must be raise, null or keep, not {on_stale}")
+    if max_interval is not None and max_interval < 0:
+        raise ValueError(f"max_interval must not be negative, not {max_interval}")
     if on_shallow not in ("raise", "null"):
         raise ValueError(f"on_shallow must be raise or null, not {on_shallow}")
     grid = book_grid(books, start, end, step, n_levels, on_snapshot)
@@ -23,7 +29,14 @@ def book_metric(books: DataFrame, value: Column, n_levels: int, side: str, start
     found = grid.groupBy("instId", "side", "ts").agg(value.alias("val"), F.count(F.lit(1)).alias("n"))
     deep = F.coalesce(F.col("n"), F.lit(0)) >= n_levels
     shallow = F.lit(None).cast("double") if on_shallow == "null" else F.raise_error(F.format_string("fewer than %d levels: %s %s at %d", F.lit(n_levels), F.col("instId"), F.col("side"), F.col("ts"))).cast("double")
-    return points.join(found, ["instId", "side", "ts"], "left").select("instId", "side", "ts", F.when(deep, F.col("val")).otherwise(shallow).alias("val"))
+    val = F.when(deep, F.col("val")).otherwise(shallow)
+    joined = points.join(found, ["instId", "side", "ts"], "left")
+    if max_interval is not None and on_stale != "keep":
+        old = stale_points(books, start, end, step, max_interval).select("instId", "ts", F.lit(True).alias("stale"))
+        joined = joined.join(old, ["instId", "ts"], "left")
+        stale = F.lit(None).cast("double") if on_stale == "null" else F.raise_error(F.format_string("no row of %s for %d ms at %d", F.col("instId"), F.lit(max_interval), F.col("ts"))).cast("double")
+        val = F.when(F.col("stale"), stale).otherwise(val)
+    return joined.select("instId", "side", "ts", val.alias("val"))
 
 
 def total_amount(books: DataFrame, n_levels: int, side: str, start: int, end: int, step: int, **more) -> DataFrame:

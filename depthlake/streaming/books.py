@@ -16,12 +16,14 @@ STATE = "sides array<string>, prices array<double>, sizes array<double>, orders
 TOP = "instId string, timestamp bigint, side string, lvl int, price double, size double, numOrders bigint"
 
 
-def stream_book(books: DataFrame, n_levels: int) -> DataFrame:
+def stream_book(books: DataFrame, n_levels: int, on_late: str = "drop") -> DataFrame:
     """The best n_levels levels of each side after each micro-batch's rows of an instrument.
 
     The state is the instrument's book. Rows of a micro-batch are applied in the order (timestamp, seq); rows older than
-    the state's timestamp are late and left out; a group whose first row is a snapshot clears the book.
+    the state's timestamp are late: left out, or with on_late="raise" an error that ends the query. A group whose first row is a snapshot clears the book.
     """
+    if on_late not in ("drop", "raise"):
+        raise ValueError(f"on_late must be drop or raise, not {on_late}")
 
     def apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         book: dict[tuple[str, float], tuple[float, int]] = {}
@@ -31,7 +33,10 @@ def stream_book(books: DataFrame, n_levels: int) -> DataFrame:
             book = {(s, p): (z, n) for s, p, z, n in zip(sides, prices, sizes, orders)}
         rows = pd.concat(list(frames)).sort_values(["timestamp", "seq"])
         if seen is not None:
-            rows = rows[rows.timestamp >= seen]
+            late = rows.timestamp < seen
+            if on_late == "raise" and late.any():
+                raise ValueError(f"{int(late.sum())} late rows of {key[0]}, the first at {int(rows.timestamp.iloc[0])}, after {seen}")
+            rows = rows[~late]
         last = seen
         for row in rows.itertuples():
             if row.timestamp != last and row.action == "snapshot":

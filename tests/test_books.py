@@ -197,3 +197,16 @@ def test_empty_books(spark):
     books = spark.createDataFrame([], BOOKS)
     assert indicators.total_value(books, 5, "ask", 0, 2000, 1000).collect() == []
     assert chunks.chunked_dataset(books, 2).collect() == [] and book.level_intervals(books).collect() == []
+
+
+def test_staleness_of_indicators(spark):
+    books = spark.createDataFrame([("X", t, s, "snapshot" if t == 0 else "update", side, p, 1.0, 1) for t, s, side, p in [(0, 0, "ask", 2.0), (0, 1, "bid", 1.0), (25_000, 2, "ask", 2.0)]], "instId string, timestamp long, seq long, action string, side string, price double, size double, numOrders long")
+    found = lambda **more: [(r.ts, r.val) for r in indicators.total_amount(books, 1, "ask", 0, 40_000, 10_000, **more).orderBy("ts").collect()]
+    whole = [(t, 1.0) for t in range(0, 40_001, 10_000)]
+    assert found() == found(max_interval=10_000, on_stale="keep") == found(max_interval=20_000) == whole
+    assert found(max_interval=10_000, on_stale="null") == [(t, None if t in (20_000, 40_000) else v) for t, v in whole]
+    with pytest.raises(Exception, match="no row of X for 10000 ms"):
+        found(max_interval=10_000)
+    for bad in ({"on_stale": "drop"}, {"max_interval": -1}):
+        with pytest.raises(ValueError):
+            found(**bad)

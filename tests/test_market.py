@@ -187,3 +187,18 @@ def test_streams_equal_the_batch(spark, tmp_path):
     found = streams.closed_chunks(spark, f"{tmp_path}/chunks").select(*chunks.COLUMNS)
     known = chunks.chunked_dataset(spark.createDataFrame(rows, BOOKS), 10)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, known.select(*chunks.COLUMNS).collect()))
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    row = lambda t, price: ("X", t, t, "ask", price, 1.0, 1, "update")
+    schema = "instId string, timestamp long, seq long, side string, price double, size double, numOrders long, action string"
+    for rows in ([row(10, 1.0)], [row(5, 2.0), row(20, 3.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = lambda name, **more: streams.stream_book(stream, 3, **more).writeStream.option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start(f"{tmp_path}/out-{name}", "parquet", "append").awaitTermination()
+    run("drop")
+    assert sorted((r.timestamp, r.price) for r in spark.read.schema(streams.TOP).parquet(f"{tmp_path}/out-drop").collect()) == [(10, 1.0), (20, 1.0), (20, 3.0)]
+    with pytest.raises(Exception, match="late rows of X"):
+        run("raise", on_late="raise")
+    with pytest.raises(ValueError):
+        streams.stream_book(stream, 3, on_late="keep")
