@@ -21,4 +21,4 @@ def test_stages(spark):
     ids = lambda pieces: {r.doc_id: r.n for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     pieces = ids(pipeline.STAGES[-1][1](spark, docs, DATA))
     assert len(pieces) == kept and ids(pipeline.run(spark, DATA)) == pieces
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
