@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import HOUR, ranked, running
+from .scan import HOUR, ranked, running, with_next
 
 LEVEL = ["instId", "side", "price"]
 
@@ -27,33 +27,34 @@ def check_grid(start: int, end: int, step: int, n_levels: int | None = None, sid
 DAY = 86_400_000
 
 
-def snapshot_times(books: DataFrame, *more: str) -> DataFrame:
-    """(instId, day, snaps, later): for every day with rows, the sorted timestamps, with more columns, of groups whose first row is a snapshot,
-    and the first such of a later day."""
+def snapshot_times(books: DataFrame) -> DataFrame:
+    """(instId, day, snaps, later): for every day with rows, the sorted timestamps of groups whose first row is a snapshot, and the first such of a later day."""
     day = F.floor(F.col("timestamp") / DAY).alias("day")
-    groups = books.groupBy("instId", "timestamp", *more).agg(F.min_by("action", "seq").alias("action"))
-    days = groups.groupBy("instId", day).agg(F.sort_array(F.collect_list(F.when(F.col("action") == "snapshot", F.struct("timestamp", *more)))).alias("snaps"))
+    groups = books.groupBy("instId", "timestamp").agg(F.min_by("action", "seq").alias("action"))
+    days = groups.groupBy("instId", day).agg(F.sort_array(F.collect_list(F.when(F.col("action") == "snapshot", F.col("timestamp")))).alias("snaps"))
     following = Window.partitionBy("instId").orderBy("day").rowsBetween(1, Window.unboundedFollowing)
     return days.withColumn("later", F.min(F.get("snaps", 0)).over(following))
 
 
-def level_rows(books: DataFrame, on_snapshot: str = "replace", carry: tuple[str, ...] = ()) -> DataFrame:
-    """books with until: struct (timestamp and carry) of the row or snapshot that ends each level's value; null if nothing does."""
+def level_rows(books: DataFrame, on_snapshot: str = "replace", width: int = HOUR) -> DataFrame:
+    """books with until: the timestamp of the row or snapshot that ends each level's value; null if nothing does.
+
+    What follows a row is found inside buckets of width milliseconds, and the first row of a bucket is handed back to the one before, so a level may hold any share of all rows.
+    """
     if on_snapshot not in ("replace", "upsert"):
         raise ValueError(f"on_snapshot must be replace or upsert, not {on_snapshot}")
-    over = Window.partitionBy(*LEVEL).orderBy("timestamp", "seq")
-    following = books.withColumn("_next", F.lead(F.struct("timestamp", *carry)).over(over))
+    following = with_next(books, LEVEL, "timestamp", ["timestamp"], "_next", width, ties=("seq",)).withColumn("_next", F.col("_next.timestamp"))
     if on_snapshot == "upsert":
         return following.withColumnRenamed("_next", "until")
-    cleared = following.withColumn("day", F.floor(F.col("timestamp") / DAY)).join(snapshot_times(books, *carry), ["instId", "day"])
-    clearing = F.expr("coalesce(get(filter(snaps, s -> s.timestamp > timestamp), 0), later)")
+    cleared = following.withColumn("day", F.floor(F.col("timestamp") / DAY)).join(snapshot_times(books), ["instId", "day"])
+    clearing = F.expr("coalesce(get(filter(snaps, s -> s > timestamp), 0), later)")
     return cleared.withColumn("until", F.least("_next", clearing)).drop("_next", "snaps", "later", "day")
 
 
-def level_intervals(books: DataFrame, on_snapshot: str = "replace") -> DataFrame:
+def level_intervals(books: DataFrame, on_snapshot: str = "replace", width: int = HOUR) -> DataFrame:
     """(instId, side, price, size, numOrders, valid_from, valid_to): when each level stood in the book; valid_to is null for the last."""
-    rows = level_rows(books, on_snapshot).where("cast(size as double) > 0 and (until is null or until.timestamp > timestamp)")
-    return rows.select(*LEVEL, "size", "numOrders", F.col("timestamp").alias("valid_from"), F.col("until.timestamp").alias("valid_to"))
+    rows = level_rows(books, on_snapshot, width).where("cast(size as double) > 0 and (until is null or until > timestamp)")
+    return rows.select(*LEVEL, "size", "numOrders", F.col("timestamp").alias("valid_from"), F.col("until").alias("valid_to"))
 
 
 def by_price(side: str = "side", price: str = "price") -> Column:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import itertools
+import operator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .book import by_price, level_rows, with_ranks
-from .chunks import chunked_dataset, trim_to_snapshot
+from .chunks import parts_of, timeline
 from .scan import running, with_previous
 
-#: Levels of a side in the checksum text, and the longest silence of an uninterrupted feed.
-LEVELS, SILENCE = 25, 60_000
+#: Levels of a side in the checksum text, the longest silence of an uninterrupted feed, and rows of a part that one task replays.
+LEVELS, SILENCE, PART_ROWS = 25, 60_000, 200_000
 
 
 def signed_crc32(text: Column) -> Column:
@@ -42,57 +43,93 @@ def timestamp_groups(books: DataFrame) -> DataFrame:
     return books.groupBy("instId", "timestamp").agg(F.min_by("action", "seq").alias("action"))
 
 
-def checksum_text(books: DataFrame, levels: int = LEVELS, on_snapshot: str = "replace") -> DataFrame:
-    """(instId, timestamp, text): bid 1, ask 1, bid 2, ... of the best levels at each timestamp as price:size; a shorter side is left out.
+class BestLevels:
+    """One side of a book: prices in order, best first, placed by bisection, and what each level adds to the checksum text.
 
-    price and size are the exchange's own text. A level's row lists the ranks of timestamps it stands at, so states need no replay;
-    the rows are the states' levels, for feeds whose books are shallow.
+    changed tells whether one of the best levels has changed since it was last read.
     """
-    rows = with_ranks(books)
-    last = rows.groupBy("instId").agg(F.max("rank").alias("ranks"))
-    times = rows.select("instId", "rank", "timestamp").distinct()
-    standing = level_rows(rows, on_snapshot, ("rank",)).join(last, "instId").where("cast(size as double) > 0")
-    states = standing.select("instId", "side", F.concat_ws(":", "price", "size").alias("part"), F.col("price").cast("double").alias("price"), "rank", F.coalesce(F.col("until.rank") - 1, "ranks").alias("to")).where("rank <= to")
-    states = states.select("instId", "side", "part", "price", F.explode(F.sequence("rank", "to")).alias("rank"))
-    best = states.withColumn("lvl", F.row_number().over(Window.partitionBy("instId", "rank", "side").orderBy(by_price()))).where(F.col("lvl") <= levels)
-    parts = best.groupBy("instId", "rank").agg(F.sort_array(F.collect_list(F.struct("lvl", (F.col("side") == "ask").alias("is_ask"), "part"))).alias("parts"))
-    texts = parts.select("instId", "rank", F.array_join(F.transform("parts", lambda p: p.part), ":").alias("text"))
-    return times.join(texts, ["instId", "rank"], "left").select("instId", "timestamp", F.coalesce("text", F.lit("")).alias("text"))
+
+    def __init__(self, sign: int, levels: int):
+        self.sign, self.levels = sign, levels
+        self.clear()
+
+    def clear(self) -> None:
+        self.order: list[float] = []
+        self.parts: dict[float, tuple[str, str]] = {}
+        self.changed = True
+
+    def set(self, price: str, size: str) -> None:
+        """The level's new size; zero removes it, and one that is not there stays so."""
+        own, part = self.sign * float(price), (price, size)
+        if float(size) == 0:
+            if self.parts.pop(own, None) is None:
+                return
+            at = bisect.bisect_left(self.order, own)
+            del self.order[at]
+        else:
+            known = self.parts.get(own)
+            self.parts[own] = part
+            at = bisect.bisect_left(self.order, own)
+            if known is None:
+                self.order.insert(at, own)
+            elif known == part:
+                return
+        self.changed |= at < self.levels
+
+    def best(self) -> list[str]:
+        self.changed = False
+        return [":".join(self.parts[x]) for x in self.order[: self.levels]]
+
+
+def part_texts(rows: Iterable[tuple], levels: int = LEVELS) -> Iterator[tuple]:
+    """(timestamp, text) after each timestamp of a part's rows (timestamp, action, side, price, size), in order; a text is made anew only when a best level has changed."""
+    sides = {"bid": BestLevels(-1, levels), "ask": BestLevels(1, levels)}
+    text = ""
+    for timestamp, group in itertools.groupby(rows, key=operator.itemgetter(0)):
+        begins = True
+        for _, action, side, price, size in group:
+            if begins and action == "snapshot":
+                for x in sides.values():
+                    x.clear()
+            begins = False
+            sides[side].set(price, size)
+        if any(x.changed for x in sides.values()):
+            best = [x.best() for x in sides.values()]
+            text = ":".join(x for pair in itertools.zip_longest(*best) for x in pair if x)
+        yield timestamp, text
 
 
-def replayed_text(books: DataFrame, chunk_size: int = 10_000, levels: int = LEVELS) -> DataFrame:
-    """checksum_text for deep books: each part of chunk_size timestamps replays from its own snapshot, in a task of its own."""
+def replayed_text(books: DataFrame, rows: int = PART_ROWS, levels: int = LEVELS, on_missing: str = "drop") -> DataFrame:
+    """(instId, timestamp, text): bid 1, ask 1, bid 2, ... of the best levels at each timestamp as price:size, from the first snapshot on (on_missing: see timeline); a shorter side is left out.
+
+    price and size are the exchange's own text. A part of about so many rows replays from its own snapshot, in a task of its own.
+    """
 
     def replay(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["timestamp", "seq"], na_position="first")
-        book: dict[str, dict[str, str]] = {"ask": {}, "bid": {}}
-        times, texts = part.timestamp.tolist(), []
-        rows = list(zip(times, part.action, part.side, part.price, part["size"], times[1:] + [None]))
-        begins = True
-        for timestamp, action, side, price, size, following in rows:
-            if begins and action == "snapshot":
-                book = {"ask": {}, "bid": {}}
-            if float(size) == 0:
-                book[side].pop(price, None)
-            else:
-                book[side][price] = size
-            begins = following != timestamp
-            if begins:
-                best = [[f"{p}:{book['bid'][p]}" for p in heapq.nlargest(levels, book["bid"], key=float)], [f"{p}:{book['ask'][p]}" for p in heapq.nsmallest(levels, book["ask"], key=float)]]
-                texts.append((timestamp, ":".join(x for pair in itertools.zip_longest(*best) for x in pair if x)))
-        return pd.DataFrame({"instId": part.instId.iloc[0], "timestamp": [t for t, _ in texts], "text": [x for _, x in texts]})
-
-    parts = chunked_dataset(books, chunk_size, keep_tail=True, on_missing="drop")
-    found = parts.groupBy("instId", "part").applyInPandas(replay, "instId string, timestamp bigint, text string")
+        found = list(part_texts(zip(part.timestamp.tolist(), part.action, part.side, part.price, part["size"]), levels))
+        return pd.DataFrame({"instId": part.instId.iloc[0], "timestamp": [t for t, _ in found], "text": [x for _, x in found]})
+
+    times = timeline(books, None, rows, "replace", on_missing)
+    found = parts_of(books, times, keep_tail=True).groupBy("instId", "part").applyInPandas(replay, "instId string, timestamp bigint, text string")
     # a part that begins with an empty book has no row for its first timestamp
-    trimmed = trim_to_snapshot(books, on_missing="drop").select("instId", "timestamp").distinct()
-    return trimmed.join(found, ["instId", "timestamp"], "left").select("instId", "timestamp", F.coalesce("text", F.lit("")).alias("text"))
+    return times.select("instId", "timestamp").join(found, ["instId", "timestamp"], "left").select("instId", "timestamp", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def checksum_text(books: DataFrame, levels: int = LEVELS, rows: int = PART_ROWS) -> DataFrame:
+    """replayed_text of every timestamp, those before an instrument's first snapshot too: they start from an empty book."""
+    return replayed_text(books, rows, levels, on_missing="start")
+
+
+def replayed_checksums(books: DataFrame, rows: int = PART_ROWS, levels: int = LEVELS) -> DataFrame:
+    """(instId, timestamp, text, checksum): the signed CRC-32 of replayed_text."""
+    return replayed_text(books, rows, levels).withColumn("checksum", signed_crc32(F.col("text")))
 
 
-def checksum_report(books: DataFrame, chunk_size: int = 10_000, levels: int = LEVELS) -> DataFrame:
+def checksum_report(books: DataFrame, rows: int = PART_ROWS, levels: int = LEVELS) -> DataFrame:
     """(instId, passed, failed, ratio): counted groups whose replayed book has the checksum that the feed states, and not."""
     stated = books.groupBy("instId", "timestamp").agg(F.min_by("checksum", "seq").alias("checksum"))
     counted = gap_sessions(timestamp_groups(books)).join(stated, ["instId", "timestamp"])
-    checked = counted.join(replayed_text(books, chunk_size, levels), ["instId", "timestamp"], "left").withColumn("ok", F.coalesce(signed_crc32(F.col("text")) == F.col("checksum"), F.lit(False)))
+    checked = counted.join(replayed_text(books, rows, levels), ["instId", "timestamp"], "left").withColumn("ok", F.coalesce(signed_crc32(F.col("text")) == F.col("checksum"), F.lit(False)))
     found = books.select("instId").distinct().join(checked, "instId", "left").groupBy("instId").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
     return found.withColumn("ratio", F.when(F.col("passed") + F.col("failed") > 0, F.col("passed") / (F.col("passed") + F.col("failed"))))

@@ -39,6 +39,17 @@ def with_previous(df: DataFrame, keys: list[str], order: str, columns: list[str]
     return found.select(*df.columns, *(F.col(f"_prev.{c}").alias(f"prev_{c}") for c in columns))
 
 
+def with_next(df: DataFrame, keys: list[str], order: str, columns: list[str], to: str, width: int = HOUR, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with a struct of the columns in the row after, by order and ties; null in the last row. A key's rows of one bucket are one task's, not all of its rows."""
+    bucketed = df.withColumn("_b", _bucket(order, width))
+    own = Window.partitionBy(*keys, "_b").orderBy(order, *ties)
+    first = F.min_by(F.struct(*columns), F.struct(order, *ties)).alias("_first")
+    over = Window.partitionBy(*keys).orderBy("_b")
+    carried = bucketed.groupBy(*keys, "_b").agg(first).select(*keys, "_b", F.lead("_first").over(over).alias("_carried"))
+    found = bucketed.withColumn("_own", F.lead(F.struct(*columns)).over(own)).join(carried, [*keys, "_b"])
+    return found.select(*df.columns, F.coalesce("_own", "_carried").alias(to))
+
+
 def running(df: DataFrame, keys: list[str], order: str, value: str, to: str, width: int = HOUR, ties: tuple[str, ...] = (), kind: str = "sum", inclusive: bool = True) -> DataFrame:
     """df with the running sum or maximum of value, with or without the row itself."""
     fold = {"sum": F.sum, "max": F.max}[kind]

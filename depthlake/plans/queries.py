@@ -373,12 +373,38 @@ def _with_stated_checksums(spark, sf_dir):
     return raw.join(stated, ["instId", "timestamp"])
 
 
-@query()
+#: CRC-32 in SQL for texts (t) of nt: cz(d, b, v) is what byte b adds with d bytes after it, ci(n, v) the register after n zero bytes; a checksum (cr) is the xor of the shares of all bytes and the length.
+_CRC = """cb AS (SELECT CAST(b AS BIGINT) AS b, CAST(b AS BIGINT) AS v, 0 AS k FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM cb WHERE k < 8),
+ct AS (SELECT b, v FROM cb WHERE k = 8), most AS (SELECT coalesce(max(length(t)), 0) AS most FROM nt),
+cz AS (SELECT 0 AS d, b, v FROM ct UNION ALL SELECT d + 1, cz.b, xor(ct.v, cz.v >> 8) FROM cz JOIN ct ON ct.b = cz.v & 255 WHERE d < (SELECT most FROM most)),
+ci AS (SELECT 0 AS n, CAST(4294967295 AS BIGINT) AS v UNION ALL SELECT n + 1, xor(ct.v, ci.v >> 8) FROM ci JOIN ct ON ct.b = ci.v & 255 WHERE n < (SELECT most FROM most)),
+bt AS (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM nt),
+cv AS (SELECT t, bit_xor(cz.v) AS x FROM bt JOIN cz ON cz.d = length(t) - i AND cz.b = ascii(substring(t, CAST(i AS INTEGER), 1)) GROUP BY t),
+cr AS (SELECT nt.t, xor(xor(coalesce(x, 0), ci.v), 4294967295) AS c FROM nt JOIN ci ON ci.n = length(nt.t) LEFT JOIN cv ON cv.t = nt.t)"""
+_CHECKED = f"""RECURSIVE {_TEXTS}, al AS (SELECT "instId", "timestamp", coalesce(text, '') AS text FROM tt LEFT JOIN tx USING ("instId", "timestamp")), nt AS (SELECT DISTINCT text AS t FROM al), {_CRC},
+ck AS (SELECT al.*, CASE WHEN c >= 2147483648 THEN c - 4294967296 ELSE c END AS checksum FROM al JOIN cr ON cr.t = al.text)"""
+
+
+@query(f"""WITH {_CHECKED}, fs AS (SELECT "instId", min("timestamp") AS f FROM be WHERE action = 'snapshot' GROUP BY 1)
+SELECT ck."instId", ck."timestamp", text, checksum FROM ck JOIN fs ON fs."instId" = ck."instId" WHERE ck."timestamp" >= f""")
+def replayed_checksums(spark, sf_dir):
+    """Text and signed CRC-32 of the best levels, by a replay of parts of 500 rows."""
+    return checksum.replayed_checksums(v.raw_books(spark, sf_dir), rows=500)
+
+
+@query(f"""WITH {_CHECKED}, sd AS (SELECT "instId", "timestamp", checksum + CASE WHEN "timestamp" // 600000 % 7 = 0 THEN 1 ELSE 0 END AS stated FROM ck),
+g AS (SELECT "instId", "timestamp", arg_min(action, seq) AS action FROM be GROUP BY 1, 2),
+o AS (SELECT *, CASE WHEN "timestamp" - coalesce(lag("timestamp") OVER (PARTITION BY "instId" ORDER BY "timestamp"), 0) > 60000 THEN 1 ELSE 0 END AS op FROM g),
+s AS (SELECT *, sum(op) OVER (PARTITION BY "instId" ORDER BY "timestamp") AS session FROM o),
+f AS (SELECT "instId", session, min("timestamp") FILTER (WHERE action = 'snapshot') AS t FROM s GROUP BY 1, 2),
+cn AS (SELECT s."instId", s."timestamp" FROM s JOIN f ON f."instId" = s."instId" AND f.session = s.session WHERE s.session = 0 OR s."timestamp" >= t),
+ok AS (SELECT cn."instId", ck.checksum = sd.stated AS ok FROM cn JOIN ck ON ck."instId" = cn."instId" AND ck."timestamp" = cn."timestamp" JOIN sd ON sd."instId" = cn."instId" AND sd."timestamp" = cn."timestamp")
+SELECT i."instId", count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, CASE WHEN count(ok) > 0 THEN count(*) FILTER (WHERE ok) / count(ok) END AS ratio FROM (SELECT DISTINCT "instId" FROM be) i LEFT JOIN ok ON ok."instId" = i."instId" GROUP BY 1""")
 def checksum_report(spark, sf_dir):
-    """SQL of the comparison engine has no CRC-32: the counts are tested against a replay."""
+    """The feed states its own checksums, one in seven of them wrong; the report replays it."""
     path = scratch(spark, "stated")
     _with_stated_checksums(spark, sf_dir).write.parquet(path)
-    return checksum.checksum_report(spark.read.parquet(path), chunk_size=500)
+    return checksum.checksum_report(spark.read.parquet(path), rows=500)
 
 
 # --- series
@@ -490,30 +516,36 @@ def points_cells(spark, sf_dir):
 # --- streams
 
 
-def _stream(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    table = spark.read.parquet(path)
-    reader = spark.readStream.schema(table.schema)
-    if table.inputFiles()[0].endswith("/events.parquet"):  # a stream reads folders: the table is one file in its folder
-        return v.books_of(reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    return v.books_of(reader.parquet(path))
+_BOOK_SQL = INTERVALS_SQL.replace(BOOKS_SQL, v.ARRIVING_SQL)
 
 
-@query()
+@query(f"""WITH {_BOOK_SQL}, nw AS (SELECT "instId", max("timestamp") AS t FROM be GROUP BY 1)
+SELECT 'book' AS kind, l."instId", t AS "timestamp", CAST(NULL AS BIGINT) AS seq, side, CAST(row_number() OVER (PARTITION BY l."instId", side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END) AS INTEGER) AS lvl, price, size, "numOrders", CAST(NULL AS VARCHAR) AS action
+FROM live l JOIN nw ON nw."instId" = l."instId" WHERE valid_to IS NULL
+UNION ALL SELECT 'late', "instId", "timestamp", seq, side, NULL, price, size, "numOrders", action FROM lt""")
 def stream_book(spark, sf_dir):
-    """The best levels after each micro-batch of a stream over the events; tested against the batch book."""
+    """The whole book after the last micro-batch of a feed that arrives in files, some rows late, and the late rows."""
     out = scratch(spark, "stream-book")
-    stream = streams.stream_book(_stream(spark, sf_dir), N)
-    stream.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows", "parquet", "append").awaitTermination()
-    return spark.read.schema(streams.TOP).parquet(f"{out}/rows")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.STORE)
+    try:
+        stream = streams.stream_book(v.arriving_feed(spark, sf_dir, f"{out}/feed"), lateness=v.SLICE)
+        run = streams.write_book(stream, f"{out}/rows", f"{out}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    run.awaitTermination()
+    rows = streams.written(spark, f"{out}/rows")
+    book = streams.last_books(rows).withColumns({"kind": F.lit("book"), "seq": F.lit(None).cast("long"), "action": F.lit(None).cast("string")})
+    return book.unionByName(rows.where("kind = 'late'").drop("batch"))
 
 
-@query(f"WITH {_PARTS} SELECT * FROM pt")
+@query(f"""WITH {_PARTS.replace(BOOKS_SQL, v.ARRIVING_SQL)} SELECT * FROM pt UNION ALL SELECT "instId", NULL, "timestamp", side, price, size, "numOrders", action, seq FROM lt""")
 def stream_chunks(spark, sf_dir):
-    """Chunks of a stream over the events, closed as they fill, and flushed at its end."""
+    """Chunks of a feed that arrives in files, closed when no row of theirs can come, flushed at its end; late rows have no part."""
     out = scratch(spark, "stream-chunks")
-    run = streams.stream_chunks(_stream(spark, sf_dir), out, CHUNK, f"{out}/checkpoint").trigger(availableNow=True).start()
+    run = streams.stream_chunks(v.arriving_feed(spark, sf_dir, f"{out}/feed"), out, CHUNK, f"{out}/checkpoint", lateness=v.SLICE).trigger(availableNow=True).start()
     run.awaitTermination()
     streams.close_chunks(spark, out, run.lastProgress["batchId"], CHUNK)
     found = streams.closed_chunks(spark, out)
-    return found.select(*chunks.COLUMNS, F.when(F.col("seq") >= 0, F.col("seq")).alias("seq"))
+    kept = found.select(*chunks.COLUMNS, F.when(F.col("seq") >= 0, F.col("seq")).alias("seq"))
+    return kept.unionByName(streams.late_chunk_rows(spark, out).withColumn("part", F.lit(None).cast("long")))

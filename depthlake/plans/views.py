@@ -69,6 +69,34 @@ GRID_SQL = (
 )
 
 
+#: Six slices of the events' span, in which a feed arrives, in milliseconds each; one row in so many comes three slices later.
+SLICE, SLICES, DELAYED = 432_000_000, 6, 11
+
+
+def arriving(books: DataFrame) -> DataFrame:
+    """books with the slice in which each row arrives."""
+    home = F.least(F.floor((F.col("timestamp") - START) / SLICE), F.lit(SLICES - 1)).cast("int")
+    return books.withColumn("slice", F.when((F.col("seq") % DELAYED == 3) & (home + 3 < SLICES), home + 3).otherwise(home))
+
+
+def arriving_feed(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """A stream of book_events as files that arrive slice by slice; a micro-batch has one file."""
+    books = arriving(book_events(spark, sf_dir))
+    for number in range(SLICES):
+        books.where(F.col("slice") == number).drop("slice").write.mode("append").parquet(path)
+    return spark.readStream.schema(books.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+#: Late are the rows over a slice behind what had arrived before their own slice: lt. be has all others.
+ARRIVING_SQL = (
+    BOOKS_SQL.replace("be AS (", "ba AS (", 1)
+    + f""", ah AS (SELECT *, least(("timestamp" - {START}) // {SLICE}, {SLICES - 1}) AS home FROM ba), ar AS (SELECT *, CASE WHEN seq % {DELAYED} = 3 AND home + 3 < {SLICES} THEN home + 3 ELSE home END AS slice FROM ah),
+ms AS (SELECT "instId", slice, max("timestamp") AS m FROM ar GROUP BY 1, 2), sn0 AS (SELECT a."instId", a.slice, max(b.m) AS seen FROM ms a JOIN ms b ON b."instId" = a."instId" AND b.slice < a.slice GROUP BY 1, 2),
+tl AS (SELECT ar.*, coalesce("timestamp" < seen - {SLICE}, false) AS late FROM ar LEFT JOIN sn0 ON sn0."instId" = ar."instId" AND sn0.slice = ar.slice),
+be AS (SELECT * EXCLUDE (home, slice, late) FROM tl WHERE NOT late), lt AS (SELECT * EXCLUDE (home, slice, late) FROM tl WHERE late)"""
+)
+
+
 def series_of(events: DataFrame) -> DataFrame:
     """A series per kind of event: quarters, so that sums are exact; equal times are told apart by a millisecond's number."""
     return events.select(F.col("event_type").alias("series_id"), F.col("event_id").alias("ts"), ((F.floor(F.col("value") * 4) + 4) / 4).alias("val"))

@@ -210,3 +210,36 @@ def test_staleness_of_indicators(spark):
     for bad in ({"on_stale": "drop"}, {"max_interval": -1}):
         with pytest.raises(ValueError):
             found(**bad)
+
+
+def test_a_hot_level_has_many_tasks(spark):
+    """One level with nine tenths of all rows: what follows each row is found in buckets of time, by more than one task."""
+    rows = spark.range(20_000).select(F.lit("X").alias("instId"), (F.col("id") * 60_000).alias("timestamp"), F.col("id").alias("seq"), F.lit("ask").alias("side"), F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(100).cast("double").alias("price"), F.lit(1.0).alias("size"), F.lit(1).cast("long").alias("numOrders"), F.when(F.col("id") == 0, "snapshot").otherwise("update").alias("action"))
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        by_task = book.level_intervals(rows).where("price = 100").groupBy(F.spark_partition_id()).count().collect()
+        assert len(by_task) == 8 and max(r["count"] for r in by_task) < 18_000 / 3
+        found = sorted((r.valid_from, r.valid_to) for r in book.level_intervals(rows).where("price = 100").collect())
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    stamps = [i * 60_000 for i in range(20_000) if i % 10]
+    assert found == list(zip(stamps, [*stamps[1:], None]))
+
+
+def test_chunks_scan_their_input_twice(spark):
+    """A count inside the input: once for the timeline, once for the rows, however many branches read them."""
+    rows, seen = feed(5, 200), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    books = spark.createDataFrame(rows, BOOKS)
+    parts = chunks.chunked_dataset(books.mapInArrow(counted, books.schema), 7, keep_tail=True).collect()
+    assert seen.value == 2 * len(rows)
+    assert sorted(map(str, parts)) == sorted(map(str, chunks.chunked_dataset(books, 7, keep_tail=True).collect()))
+    with pytest.raises(ValueError):
+        chunks.chunked_dataset(books, 7, on_missing="other")

@@ -92,6 +92,37 @@ def test_checksums_by_parts_and_report(spark):
     assert (report.passed, report.failed) == (sum(t % 2 == 0 for t in counted), sum(t % 2 for t in counted))
 
 
+def test_best_levels():
+    """Against a sort of the whole side after every change."""
+    rng = random.Random(4)
+    for sign in (1, -1):
+        side, held = checksum.BestLevels(sign, 3), {}
+        shown = side.best()
+        for _ in range(3000):
+            price, size = str(rng.randint(1, 12) / 2), rng.choice(["0", "0.0", "1", "2"])
+            side.set(price, size)
+            held.pop(price, None)
+            if float(size):
+                held[price] = size
+            if rng.random() < 0.01:
+                side.clear()
+                held = {}
+            known = [f"{p}:{held[p]}" for p in sorted(held, key=lambda p: sign * float(p))[:3]]
+            if side.changed:
+                shown = side.best()
+            assert shown == known
+
+
+def test_hot_timestamps_in_parts_of_rows(spark):
+    """Parts are cut by rows between timestamps, whatever a timestamp holds; their texts are those of one part."""
+    rows = [("X", 1, 0, "ask", "5", "1", 1, "snapshot")] + [("X", t, 100 * t + k, "ask", str(6 + k), str(t), 1, "update") for t in range(2, 30) for k in range(1 if t % 5 else 40)]
+    books = spark.createDataFrame(rows, BOOKS.replace("price double, size double", "price string, size string"))
+    one, many = (sorted(map(tuple, checksum.replayed_text(books, n).collect())) for n in (10_000, 8))
+    assert one == many and len(one) == 29
+    sizes = [r["rows"] for r in chunks.part_catalog(chunks.parts_by_rows(books, 8)).collect()]
+    assert len(sizes) > 5 and max(sizes) <= 8 + 40 + 41
+
+
 def counted_groups(groups, silence=60_000):
     """The rule as a loop: time since the last counted group."""
     last, waiting, out = 0, False, []
@@ -169,6 +200,17 @@ def test_datasets_and_points(spark, tmp_path):
     assert (tags, at) == ("TV,exchange=OKX,instId=X,instType=SWAP,level=5,side=ask", "1000000000") and float(value[4:]) == pytest.approx(306.1)
 
 
+def stored_by_key(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.STORE)
+
+
+def run_book(spark, stream, path, **more):
+    """The rows that stream_book writes."""
+    stored_by_key(spark)
+    streams.write_book(streams.stream_book(stream, **more), f"{path}/rows", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return streams.written(spark, f"{path}/rows").collect()
+
+
 def test_streams_equal_the_batch(spark, tmp_path):
     rows = feed(6, 300)
     cut = sorted({r[1] for r in rows})
@@ -177,10 +219,13 @@ def test_streams_equal_the_batch(spark, tmp_path):
         low = bounds[i - 1] if i else -1
         spark.createDataFrame([r for r in rows if low <= r[1] < top], BOOKS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(BOOKS).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
-    streams.stream_book(stream, 3).writeStream.option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start(f"{tmp_path}/out", "parquet", "append").awaitTermination()
+    found = run_book(spark, stream, f"{tmp_path}/book")
     states = replay(rows)
-    for r in spark.read.schema(streams.TOP).parquet(f"{tmp_path}/out").collect():
-        assert states[r.timestamp][r.side, r.price] == (r["size"], r.numOrders)
+    assert {r.batch for r in found} == {0, 1, 2} and {r.kind for r in found} == {"book"}
+    for batch in range(3):
+        own = [r for r in found if r.batch == batch and r.lvl]
+        at = max(t for t in states if t < bounds[batch])
+        assert {(r.side, r.price): (r["size"], r.numOrders) for r in own} == states[at] and all(r.timestamp == at for r in own)
     run = streams.stream_chunks(stream, f"{tmp_path}/chunks", 10, f"{tmp_path}/c2").trigger(availableNow=True).start()
     run.awaitTermination()
     streams.close_chunks(spark, f"{tmp_path}/chunks", run.lastProgress["batchId"], 10)
@@ -189,16 +234,48 @@ def test_streams_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, known.select(*chunks.COLUMNS).collect()))
 
 
+@pytest.mark.parametrize("lateness", [0, 40_000])
+def test_streams_out_of_order(spark, tmp_path, lateness):
+    """Rows that come within the lateness count as if they had come in time; the others are told, and change nothing."""
+    rows, rng, waits, parts = feed(8, 240), random.Random(5), [], [[], [], [], []]
+    times = sorted({r[1] for r in rows})
+    for r in rows:
+        home = min(3, times.index(r[1]) * 4 // len(times))
+        parts[min(3, home + (rng.random() < 0.15) + (rng.random() < 0.05))].append(r)
+    seen, kept, late = None, [], []
+    for part in parts:
+        for r in part:
+            (late if seen is not None and r[1] < seen - lateness else kept).append(r)
+        seen = max([seen or 0, *(r[1] for r in part)])
+        rng.shuffle(part)
+        spark.createDataFrame(part, BOOKS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(BOOKS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = run_book(spark, stream, f"{tmp_path}/book", lateness=lateness)
+    kept.sort(key=lambda r: (r[1], r[2]))
+    assert late and sorted(r.seq for r in found if r.kind == "late") == sorted(r[2] for r in late)
+    assert {(r.side, r.price): (r["size"], r.numOrders) for r in found if r.kind == "book" and r.batch == 3 and r.lvl} == replay(kept)[kept[-1][1]]
+    run = streams.stream_chunks(stream, f"{tmp_path}/chunks", 7, f"{tmp_path}/c2", lateness=lateness).trigger(availableNow=True).start()
+    run.awaitTermination()
+    streams.close_chunks(spark, f"{tmp_path}/chunks", run.lastProgress["batchId"], 7)
+    own = streams.closed_chunks(spark, f"{tmp_path}/chunks").select(*chunks.COLUMNS)
+    known = chunks.chunked_dataset(spark.createDataFrame(kept, BOOKS), 7)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, known.select(*chunks.COLUMNS).collect()))
+    assert sorted(r.seq for r in streams.late_chunk_rows(spark, f"{tmp_path}/chunks").collect()) == sorted(r[2] for r in late)
+
+
 def test_late_rows_of_a_stream(spark, tmp_path):
-    row = lambda t, price: ("X", t, t, "ask", price, 1.0, 1, "update")
-    schema = "instId string, timestamp long, seq long, side string, price double, size double, numOrders long, action string"
-    for rows in ([row(10, 1.0)], [row(5, 2.0), row(20, 3.0)]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    run = lambda name, **more: streams.stream_book(stream, 3, **more).writeStream.option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start(f"{tmp_path}/out-{name}", "parquet", "append").awaitTermination()
-    run("drop")
-    assert sorted((r.timestamp, r.price) for r in spark.read.schema(streams.TOP).parquet(f"{tmp_path}/out-drop").collect()) == [(10, 1.0), (20, 1.0), (20, 3.0)]
+    row = lambda t, price, size=1.0: ("X", t, t, "ask", price, size, 1, "update")
+    for rows in ([row(10, 1.0)], [row(5, 2.0), row(20, 3.0)], [row(30, 1.0, 0.0), row(31, 3.0, 0.0)]):
+        spark.createDataFrame(rows, BOOKS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(BOOKS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = run_book(spark, stream, f"{tmp_path}/drop", n_levels=3)
+    assert sorted((r.batch, r.kind, r.timestamp, r.lvl, r.price) for r in found if r.price) == [(0, "book", 10, 1, 1.0), (1, "book", 20, 1, 1.0), (1, "book", 20, 2, 3.0), (1, "late", 5, None, 2.0)]
+    assert [(r.batch, r.lvl, r.timestamp) for r in found if not r.price] == [(2, 0, 31)]
+    assert streams.last_books(streams.written(spark, f"{tmp_path}/drop/rows")).collect() == []
     with pytest.raises(Exception, match="late rows of X"):
-        run("raise", on_late="raise")
-    with pytest.raises(ValueError):
-        streams.stream_book(stream, 3, on_late="keep")
+        run_book(spark, stream, f"{tmp_path}/raise", on_late="raise")
+    for bad in ({"on_late": "keep"}, {"lateness": -1}):
+        with pytest.raises(ValueError):
+            streams.stream_book(stream, 3, **bad)
+        with pytest.raises(ValueError):
+            streams.stream_chunks(stream, "x", 3, "y", **bad)
