@@ -48,6 +48,8 @@ BEGIN = re.compile(r"(?:(?<![A-Za-z0-9+])|(?<=\\n))(?:M[A-P]|b3BlbnNzaC1rZXktdjE
 LETTER = re.compile(r"[A-Za-z0-9+/]")
 
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+#: Tags of the fields of keys: those, and numbered ones of attributes and public keys.
+TAGS = (INTEGER, OCTETS, SEQUENCE, 0xA0, 0xA1, 0x81)
 MAGIC = b"openssh-key-v1\0"
 
 # Object identifiers of key algorithms and of password-based encryption: fixed values.
@@ -135,9 +137,39 @@ def is_der_key(data: bytes) -> bool:
     return is_rsa_key(fields) or is_dsa_key(fields) or is_curve_key(fields) or is_wrapped_key(fields) or is_encrypted_key(fields)
 
 
-def openssh_size(data: bytes) -> int:
+class Decoded:
+    """The bytes of base64 letters from a place on, decoded where they are asked for."""
+
+    def __init__(self, letters: str, first: int, last: int):
+        self.letters, self.first, self.size = letters, first, (last - first) * 6 // 8
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        a, b, _ = part.indices(self.size)
+        if a >= b:
+            return b""
+        quads = self.letters[self.first + a // 3 * 4 : min(self.first + -(-b // 3) * 4, self.first + -(-self.size * 8 // 6))]
+        return unbase64(quads)[a % 3 : a % 3 + b - a]
+
+
+def key_like(data: Decoded, outer: tuple[int, int, int]) -> bool:
+    """Whether the fields of a SEQUENCE have tags that a private key's have and fill it; only their heads are read."""
+    tags, at = [], outer[1]
+    while at < outer[2] and len(tags) < 12:
+        head = der_head(data[at : at + 6])
+        if head is None or head[0] not in TAGS:
+            return False
+        tags.append(head[0])
+        at += head[2]
+    numbers = [INTEGER] * 6
+    return at == outer[2] and (tags == numbers or tags[:9] == [INTEGER] * 9 or tags[:2] == [INTEGER, OCTETS] or tags[:3] == [INTEGER, SEQUENCE, OCTETS] or tags == [SEQUENCE, OCTETS])
+
+
+def openssh_size(data: bytes | Decoded) -> int:
     """Bytes of the OpenSSH key that data begins with: the magic, cipher, derivation and its options, the number of keys, as many public keys, and the private part. 0 if a length does not fit."""
-    if not data.startswith(MAGIC):
+    if data[: len(MAGIC)] != MAGIC:
         return 0
     at, left = len(MAGIC), 3
     for part in ("names", "keys"):
@@ -200,18 +232,23 @@ def base64_keys(text: str) -> list[tuple[int, int]]:
             at = gap.end()
         places.extend(range(at, run.end()))
         letters, end = "".join(map(text.__getitem__, places)), 0
+        pads = [m.start() for m in re.finditer("=", letters)]
         for begin in begins:
             if begin < end:
                 continue
             k = bisect.bisect_left(places, begin)
             head = unbase64(letters[k : k + 16])
             if head.startswith(MAGIC[:9]):
-                size = openssh_size(unbase64(letters[k:].split("=")[0][: (len(places) - k) // 4 * 4 + 3]))
+                pad = bisect.bisect_left(pads, k)
+                size = openssh_size(Decoded(letters, k, pads[pad] if pad < len(pads) else len(letters)))
             else:
                 outer = der_head(head)
                 size = outer[2] if outer and outer[0] == SEQUENCE and head[outer[1] : outer[1] + 1] in (b"\x02", b"\x30") else 0
             last = k + (size * 8 + 5) // 6
-            if not size or last > len(places) or (head[0] == SEQUENCE and not is_der_key(unbase64(letters[k:last]))):
+            if not size or last > len(places):
+                continue
+            # a key's heads are looked at before it is decoded, which would take long where many places say that a long one begins
+            if head[0] == SEQUENCE and not (key_like(Decoded(letters, k, last), outer) and is_der_key(unbase64(letters[k:last]))):
                 continue
             stop = places[last - 1] + 1
             while stop < len(text) and text[stop] == "=" and stop - places[last - 1] <= -(last - k) % 4:
@@ -262,6 +299,16 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return find_secrets(docs).select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(base, 256).alias("base_sha256"), listed(spans).alias("spans"), count(*KINDS[3:]).alias("n_confirmed"))
 
 
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """text with the code points of spans (start, end), in order of their starts, as asterisks; its pieces are joined once."""
+    pieces, at = [], 0
+    for start, end in spans:
+        if end > at:
+            pieces += [text[at:start] if start > at else "", "*" * (end - max(at, start))]
+            at = end
+    return "".join(pieces) + text[at:]
+
+
 def _masked(batches):
     for batch in batches:
         at = batch.schema.get_field_index("text")
@@ -270,8 +317,7 @@ def _masked(batches):
         if len(hits):
             rows = texts.to_pylist()
             for i in hits:
-                for a, _, b in spans_of(rows[i]):
-                    rows[i] = rows[i][:a] + "*" * (b - a) + rows[i][b:]
+                rows[i] = masked(rows[i], [(a, b) for a, _, b in spans_of(rows[i])])
             batch = batch.set_column(at, "text", pa.array(rows, pa.string()))
         yield batch
 
