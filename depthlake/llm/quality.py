@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import filled, slices, smallest_keys, text_of
+from .shared import filled, saved, slices, smallest_keys, text_of
 
 #: Labelled rows that a classifier is fitted on, at most, and bytes of a text that may teach: 786 MB of text in all, and far less as features.
 SAMPLE_ROWS, SAMPLE_TEXT = 12_000, 1 << 16
@@ -86,9 +86,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     learn: which rows of labels may teach. Texts of more than SAMPLE_TEXT bytes teach nothing.
     """
+    fits = ~F.coalesce(F.octet_length("text") > SAMPLE_TEXT, F.lit(False))
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    # labels of documents that aren't there, or are too long, take no place in the sample
+    there = docs.where(fits).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    known = saved(known.join(there, "doc_id", "left_semi"), "labelled")
     chosen = smallest_keys(known, F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)), rows)
-    own = docs.where(~F.coalesce(F.octet_length("text") > SAMPLE_TEXT, F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(text_of().alias("text"), *columns).alias("row"))
+    own = docs.where(fits).select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(text_of().alias("text"), *columns).alias("row"))
     return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("row").alias("row"), F.first("label").alias("label")).select("label", "row.*")
 
 
