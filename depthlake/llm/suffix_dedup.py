@@ -397,7 +397,9 @@ def _bucketed(suffixes: DataFrame, by_before: bool) -> DataFrame:
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(doc, low, high): ranges of starts of windows that also start earlier, of a table (doc, text) with distinct doc."""
     anchors = saved(texts.mapInArrow(_anchors, ANCHORS), "anchors")
-    by_gram = anchors.where("gram is not null").repartitionByRange(partitions(texts.sparkSession), "gram", "doc", "place")
+    grams = anchors.where("gram is not null")
+    ranges = max(partitions(texts.sparkSession), -(-grams.count() // BUCKET_ROWS))
+    by_gram = grams.repartitionByRange(ranges, "gram", "doc", "place")
     shared = by_gram.mapInArrow(_shared_grams, "doc long, place long, low long, high long")
     open_ = shared.groupBy("doc").agg(F.collect_list(F.struct("place", "low", "high")).alias("open"))
     suffixes = saved(texts.join(open_, "doc").select("doc", "text", "open").mapInArrow(_suffixes, SUFFIXES), "suffixes")
