@@ -4,6 +4,8 @@ import base64
 import hashlib
 import json
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -287,6 +289,52 @@ def test_thresholds_by_language(spark):
 # --- secrets
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password = hunter22\n" * 250_000,
+        base64.b64encode(secret_scan.MAGIC + b"\0\0\0\4none" + b"\0" * 2).decode() * 160_000,
+        ("/" + base64.b64encode(bytes.fromhex("3082ffff0201")).decode()) * 550_000,
+        ("/" + base64.b64encode(bytes.fromhex("3084000fff000201")).decode().rstrip("=")) * 400_000,
+        "-----BEGIN PRIVATE KEY-----\n" * 180_000,
+    ],
+    ids=["assignments", "openssh", "sequences", "long sequences", "armour"],
+)
+def test_secrets_of_5_mb(text):
+    """Long texts full of what a secret begins with take time in proportion."""
+    began = time.time()
+    spans = secret_scan.spans_of(text)
+    own = secret_scan.masked(text, [(a, b) for a, _, b in spans])
+    assert len(text) >= 4_800_000 and len(own) == len(text)
+    assert time.time() - began < (20 if "MI" in text else 5) * max(1, slowness())  # each of half a million heads is looked at
+
+
+def slowness():
+    """Times the usual time that this machine takes just now."""
+    began = time.thread_time()
+    sum(range(5_000_000))
+    return (time.thread_time() - began) / 0.12
+
+
+def test_masking_of_overlapping_spans():
+    for spans in ([], [(0, 3)], [(1, 4), (2, 3)], [(1, 4), (2, 6), (6, 7)], [(2, 4), (2, 9), (8, 10)]):
+        known = "".join("*" if any(a <= i < b for a, b in spans) else c for i, c in enumerate("abcdefghij"))
+        assert secret_scan.masked("abcdefghij", spans) == known
+
+
+def test_bytes_are_decoded_where_asked():
+    raw = bytes(range(200))
+    for cut in range(4):
+        letters = "xx" + base64.b64encode(raw).decode().rstrip("=")
+        letters = letters[: len(letters) - cut]
+        data = secret_scan.Decoded(letters, 2, len(letters))
+        known = raw[: (len(letters) - 2) * 6 // 8]
+        assert len(data) == len(known)
+        for a in range(0, 200, 7):
+            for n in (0, 1, 2, 3, 4, 9, 500):
+                assert data[a : a + n] == known[a : a + n], (cut, a, n)
+
+
 def der(tag, *parts):
     body = b"".join(parts)
     size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
@@ -532,3 +580,38 @@ def test_packing_of_instruction_data(spark):
     library = Tokenizer.from_file(BYTES)
     assert placed == {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t, _ in rows}
     assert all(t == 2048 or t & (t - 1) == 0 for t, _ in sums.values()) and max(b for _, b in sums.values()) == 700 and any(t == 2048 and b < 700 for t, b in sums.values())
+
+
+def test_labels_of_absent_documents_take_no_place(spark):
+    """All documents with a label teach, however many labels have no document, or one that is too long."""
+    docs = table(spark, [(i * 500, f"text {i}") for i in range(200)] + [(7, "x" * (quality.SAMPLE_TEXT + 1))])
+    known = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert quality.labelled_sample(docs, known, "quality", F.lit(True), 12_000).count() == 200
+    assert 190 <= quality.labelled_sample(docs.unionByName(table(spark, [(i * 500 + 1, "more") for i in range(190)])), known, "quality", F.lit(True), 200).count() <= 200
+
+
+def plain_indicators(text):
+    """The set of a text's features, by loops."""
+    raw, words = text.encode(), [w for w in re.split("[ \\t\\n\\x0b\\x0c\\r]+", text)]
+    found = {(int.from_bytes(raw[i : i + 3], "big") * 2654435761 % (1 << 32)) >> 16 for i in range(len(raw) - 2)}
+    seen, new = set(), []
+    for pair in zip(words, words[1:]):
+        new.append(pair in seen)
+        seen.add(pair)
+    for i in range(len(new) - quality.RUN + 1):
+        found.add(quality.TRIGRAMS + sum(x << k for k, x in enumerate(new[i : i + quality.RUN])))
+    return found
+
+
+def test_quality_scores_by_plain_code():
+    rng = np.random.default_rng(5)
+    texts = ["", "a", "ab", "abc", "the cat " * 30, "one two three four five six seven eight nine ten one two three", "é日😀 " * 40, " lead  and trail "]
+    model = dict(scale=rng.normal(size=quality.FEATURES), weights=rng.normal(size=quality.FEATURES), bias=0.1, slope=1.3, offset=-0.2)
+    rows = [(r, f) for rows, features in quality.indicators(pa.array(texts)) for r, f in zip(rows.tolist(), features.tolist())]
+    scores = quality.score_texts(pa.array(texts), model)
+    for i, text in enumerate(texts):
+        own = sorted(plain_indicators(text))
+        assert sorted(f for r, f in rows if r == i) == own
+        x = [model["scale"][f] for f in own]
+        margin = sum(a * model["weights"][f] for a, f in zip(x, own)) / max(sum(a * a for a in x) ** 0.5, 1e-9) + model["bias"]
+        assert abs(scores[i] - 1 / (1 + np.exp(-(1.3 * margin - 0.2)))) < 1e-9
