@@ -1,16 +1,21 @@
-"""Post-processing of numeric series (series_id, ts, val)."""
+"""Post-processing of numeric series (series_id, ts, val).
+
+A table without rows has no series and gives none; a series that is too short for an operator is an error. width: milliseconds of the buckets of time in which long series are scanned.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import ranked, with_previous
+from ..sources.scratch import stored
+from .scan import HOUR, ranked, with_previous
 
 MINUTE = 60_000
-#: Rows of a block in scans that go by row number.
-BLOCK = 10_000
+#: Rows of a block in scans that go by row number; rows up to which Spark keeps the best of a group before its shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+BLOCK, TOP = 10_000, 1000
 
 
 def _guarded(df: DataFrame, least: int, what: str) -> DataFrame:
@@ -21,48 +26,63 @@ def _guarded(df: DataFrame, least: int, what: str) -> DataFrame:
     return df.join(checked, "series_id").where("_n is not null").drop("_n")
 
 
-def log_delta(series: DataFrame) -> DataFrame:
+def log_delta(series: DataFrame, width: int = HOUR) -> DataFrame:
     """(series_id, ts, val): the natural logarithm of each value over the one before; a series of one row is an error."""
-    found = with_previous(_guarded(series, 2, "log_delta"), ["series_id"], "ts", ["val"])
+    found = with_previous(_guarded(series, 2, "log_delta"), ["series_id"], "ts", ["val"], width)
     return found.where("prev_val is not null").select("series_id", "ts", F.ln(F.col("val") / F.col("prev_val")).alias("val"))
 
 
-def exp_smoothing(series: DataFrame, alpha: float, block: int = BLOCK) -> DataFrame:
+def smoothed(values: np.ndarray, alpha: float) -> np.ndarray:
+    """s[0] = values[0], s[i] = values[i] + (1 - alpha) s[i - 1], by doubling: after each pass a value sums up twice as many of those before it."""
+    out, step, weight = values.astype(float), 1, 1 - alpha
+    while step < len(out) and weight:
+        out[step:] = out[step:] + weight * out[:-step]
+        step, weight = 2 * step, weight * weight
+    return out
+
+
+def composed(rules: DataFrame) -> DataFrame:
+    """(series_id, block, value): what affine rules (series_id, block, a, b), from block 0 whose a is 0 on without a gap, make of a series up to the end of each block.
+
+    By doubling: each round joins a rule with the one that ends where it begins, so rules span twice as many blocks. It ends when none depends on what is before it, at
+    the logarithm of the blocks at most, and sooner where weights have faded to zero.
+    """
+    rules, step = stored(rules, "rules"), 1
+    while not rules.where("a <> 0").isEmpty():
+        before = rules.select("series_id", (F.col("block") + step).alias("block"), F.col("a").alias("a0"), F.col("b").alias("b0"))
+        a, b = F.col("a") * F.col("a0"), F.col("a") * F.col("b0") + F.col("b")
+        rules = stored(rules.join(before, ["series_id", "block"], "left").select("series_id", "block", F.coalesce(a, "a").alias("a"), F.coalesce(b, "b").alias("b")), "rules")
+        step *= 2
+    return rules.select("series_id", "block", F.col("b").alias("value"))
+
+
+def exp_smoothing(series: DataFrame, alpha: float, block: int = BLOCK, width: int = HOUR) -> DataFrame:
     """(series_id, ts, val): s0 = x0, s = alpha x + (1 - alpha) s before, in double.
 
-    A block of rows maps the smoothed value before it to the one at its end by an affine rule; the rules are composed over blocks,
-    a few rows per series, and each block is then replayed from its own start.
+    A block of rows maps the smoothed value before it to the one at its end by an affine rule; rules are composed over blocks by doubling, and each block is
+    smoothed from its own start. No task has more rows than a block's, whatever a series holds.
     """
     if not 0 < alpha < 1:
         raise ValueError(f"alpha must be between 0 and 1, not {alpha}")
-    rows = ranked(series.select("series_id", "ts", F.col("val").cast("double").alias("val")), ["series_id"], "ts", "i", distinct=False)
-    rows = rows.withColumn("block", F.floor((F.col("i") - 1) / block).cast("long"))
-    # the first value has weight 1, all others alpha; weights fade with distance to the block's end
-    top = F.max("i").over(Window.partitionBy("series_id", "block"))
-    weight = F.pow(F.lit(1 - alpha), top - F.col("i")) * F.when(F.col("i") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    rules = rows.withColumn("part", F.col("val") * weight).groupBy("series_id", "block").agg(F.sum("part").alias("b"), F.pow(F.lit(1 - alpha), F.count(F.lit(1))).alias("a"))
-    listed = rules.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("block", "a", "b"))).alias("rules"))
-    ends = F.aggregate(
-        "rules",
-        F.struct(F.array().cast("array<struct<block:bigint,start:double>>").alias("done"), F.lit(None).cast("double").alias("s")),
-        lambda acc, r: F.struct(F.concat(acc.done, F.array(F.struct(r.block.alias("block"), acc.s.alias("start")))).alias("done"), F.coalesce(acc.s * r.a + r.b, r.b).alias("s")),
-        lambda acc: acc.done,
-    )
-    starts = listed.select("series_id", F.inline(ends))
+    rows = ranked(series.select("series_id", "ts", F.col("val").cast("double").alias("val")), ["series_id"], "ts", "i", width, distinct=False)
+    rows = stored(rows.withColumn("block", F.floor((F.col("i") - 1) / block).cast("long")), "ranked")
+    # weights fade with distance to the block's end; the first value of all has weight 1. A last block that is not full hands on to none
+    weight = F.pow(F.lit(1 - alpha), (F.col("block") + 1) * block - F.col("i")) * F.when(F.col("i") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
+    keeps = F.when(F.col("block") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(1 - alpha), F.lit(block)))
+    rules = rows.groupBy("series_id", "block").agg(F.sum(F.col("val") * weight).alias("b")).select("series_id", "block", keeps.alias("a"), "b")
+    starts = composed(rules).select("series_id", (F.col("block") + 1).alias("block"), F.col("value").alias("start"))
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
-        out, s = [], group.start.iloc[0]
-        for x in group.val:
-            s = x if pd.isna(s) else alpha * x + (1 - alpha) * s
-            out.append(s)
-        return group[["series_id", "ts"]].assign(val=out)
+        values = alpha * group.val.to_numpy()
+        values[0] = group.val.iloc[0] if group.i.iloc[0] == 1 else values[0] + (1 - alpha) * group.start.iloc[0]
+        return group[["series_id", "ts"]].assign(val=smoothed(values, alpha))
 
     schema = f"series_id {series.schema['series_id'].dataType.simpleString()}, ts bigint, val double"
-    return rows.join(starts, ["series_id", "block"]).groupBy("series_id", "block").applyInPandas(replay, schema)
+    return rows.join(starts, ["series_id", "block"], "left").groupBy("series_id", "block").applyInPandas(replay, schema)
 
 
-def rolling(series: DataFrame, n: int, kind: str, block: int = BLOCK) -> DataFrame:
+def rolling(series: DataFrame, n: int, kind: str, block: int = BLOCK, width: int = HOUR) -> DataFrame:
     """(series_id, ts, val): mean or population variance (kind: mean, var) of each row and the n - 1 before it; only full frames.
 
     Rows go to blocks by their number, and each block also gets the n - 1 rows before it.
@@ -72,7 +92,7 @@ def rolling(series: DataFrame, n: int, kind: str, block: int = BLOCK) -> DataFra
     if kind not in ("mean", "var"):
         raise ValueError(f"kind must be mean or var, not {kind}")
     size = max(block, n)
-    rows = ranked(series, ["series_id"], "ts", "i", distinct=False).withColumn("block", F.floor((F.col("i") - 1) / size).cast("long"))
+    rows = ranked(series, ["series_id"], "ts", "i", width, distinct=False).withColumn("block", F.floor((F.col("i") - 1) / size).cast("long"))
     copies = F.when((F.col("i") - 1) % size >= size - (n - 1), F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))
     spread = rows.withColumn("home", F.col("block")).withColumn("block", F.explode(copies))
     over = Window.partitionBy("series_id", "block").orderBy("i").rowsBetween(-(n - 1), 0)
@@ -80,14 +100,25 @@ def rolling(series: DataFrame, n: int, kind: str, block: int = BLOCK) -> DataFra
     return spread.withColumn("val", fold("val").over(over)).where((F.col("home") == F.col("block")) & (F.col("i") >= n)).select("series_id", "ts", "val")
 
 
-def last_n(series: DataFrame, n: int, kind: str) -> DataFrame:
-    """(series_id, val): mean or population variance of the last n values; an n below 1 or above a series' length is an error."""
+def last_n(series: DataFrame, n: int, kind: str, width: int = HOUR) -> DataFrame:
+    """(series_id, val): mean or population variance of the last n values; an n below 1 or above a series' length is an error.
+
+    A task keeps the last n rows of each series before anything is shuffled; above TOP rows, only those of the last buckets that hold so many are looked at.
+    """
     if n <= 0:
         raise ValueError(f"n must be positive, not {n}")
-    rows = ranked(_guarded(series, n, "last_n"), ["series_id"], "ts", "i", distinct=False)
-    size = rows.groupBy("series_id").agg(F.max("i").alias("size"))
-    kept = rows.join(size, "series_id").where(F.col("i") > F.col("size") - n)
-    return kept.groupBy("series_id").agg((F.avg if kind == "mean" else F.var_pop)("val").alias("val"))
+    if kind not in ("mean", "var"):
+        raise ValueError(f"kind must be mean or var, not {kind}")
+    rows = series.select("series_id", "ts", "val")
+    if n > TOP:
+        bucketed = rows.withColumn("_b", F.floor(F.col("ts") / width).cast("long"))
+        later = Window.partitionBy("series_id").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = bucketed.groupBy("series_id", "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+        rows = bucketed.join(sizes.where(F.col("_later") < n).select("series_id", "_b"), ["series_id", "_b"], "left_semi").drop("_b")
+    last = rows.withColumn("_i", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("ts")))).where(F.col("_i") <= n)
+    found = last.groupBy("series_id").agg((F.avg if kind == "mean" else F.var_pop)("val").alias("val"), F.count(F.lit(1)).alias("_n"))
+    short = F.raise_error(F.concat(F.lit("last_n: too few rows in series "), F.col("series_id").cast("string"))).cast("double")
+    return found.select("series_id", F.when(F.col("_n") == n, F.col("val")).otherwise(short).alias("val"))
 
 
 def series_gap(a: DataFrame, b: DataFrame, fill_value: float | None = 0.0) -> DataFrame:

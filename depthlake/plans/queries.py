@@ -23,6 +23,8 @@ ORACLE_SQL: dict[str, str] = {}
 SPAN = (START, END, STEP)
 #: Levels of an indicator, distinct timestamps of a part.
 N, CHUNK = 3, 50
+#: Numbers of events in a bucket of a series, so that small tables have many buckets.
+WIDTH = 80
 
 
 def query(sql: str | None = None):
@@ -190,7 +192,11 @@ def part_catalog(spark, sf_dir):
 
 @query(f"""WITH {BOOKS_SQL} SELECT "instId", count(*) AS rows, min("timestamp") AS min_timestamp, max("timestamp") AS max_timestamp FROM be GROUP BY 1""")
 def compact_stats(spark, sf_dir):
-    rows = datasets.compacted(v.book_events(spark, sf_dir))
+    """What a dataset of many small files holds after its compaction."""
+    path = scratch(spark, "small")
+    v.book_events(spark, sf_dir).repartition(16).write.partitionBy("instId").parquet(path)
+    datasets.compact(spark, path, f"{path}-compact")
+    rows = spark.read.parquet(f"{path}-compact")
     return rows.groupBy("instId").agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("min_timestamp"), F.max("timestamp").alias("max_timestamp"))
 
 
@@ -276,15 +282,36 @@ def guard_single_payload(spark, sf_dir):
 
 @query("""SELECT 'INST-' || (user_id % 4) AS "instId", epoch_ns(ts) // 1000000 AS "timestamp", event_id AS "tradeId" FROM events""")
 def read_messages(spark, sf_dir):
-    """Messages written as files of JSON objects, one per instrument and day, and read back."""
-    m = v.messages(spark, sf_dir, "trades")
-    first = F.get("message.data", 0)
-    day = F.floor(first.ts.cast("long") / 86_400_000)
-    files = m.groupBy(first.instId.alias("inst"), day.alias("day")).agg(F.to_json(F.struct(F.collect_list("message").alias("data"))).alias("value"))
+    """Messages written as files of JSON objects and read back."""
+    path = scratch(spark, "dumps")
+    v.write_dumps(spark, sf_dir, path)
+    return ingest.flatten_trades(ingest.read_messages(spark, path, "trades", glob="OKX-Trades-*")).select("instId", "timestamp", "tradeId")
+
+
+_DUMPS = f"""dm AS (SELECT 'INST-' || (user_id % 4) AS "instId", epoch_ns(ts) // 1000000 AS "timestamp", event_id AS "tradeId", event_id // {v.DUMP} * {v.DUMP} AS f FROM events)"""
+
+
+@query(f"""WITH {_DUMPS}, df AS (SELECT DISTINCT "instId" || '-400' AS "dsID", f FROM dm) SELECT "dsID", CAST(f AS VARCHAR) AS "startTimestamp", CAST(f + {v.DUMP - 1} AS VARCHAR) AS "endTimestamp", row_number() OVER (PARTITION BY "dsID" ORDER BY f) AS ordinal FROM df""")
+def file_manifest(spark, sf_dir):
+    """The dump files found in a folder, with their order in their dataset."""
     path = scratch(spark, "dumps")
-    files.write.partitionBy("inst", "day").text(path)
-    read = ingest.read_messages(spark, path, "trades", glob="*.txt", recursive=True)
-    return ingest.flatten_trades(read).select("instId", "timestamp", "tradeId")
+    v.write_dumps(spark, sf_dir, path)
+    files = ingest.find_files(spark, path, "Trades")
+    told = ingest.file_manifest(files, datasets.TARGET_BYTES, width=100 * v.DUMP)
+    return told.join(files.select("filePath", "startTimestamp", "endTimestamp"), "filePath").select("dsID", "startTimestamp", "endTimestamp", "ordinal")
+
+
+@query(f"""WITH {_DUMPS} SELECT "instId" || '-400' AS "dsID", "instId", "timestamp", "tradeId", row_number() OVER (PARTITION BY "instId" ORDER BY "timestamp", "tradeId") AS place FROM dm""")
+def ordered_dumps(spark, sf_dir):
+    """Dumps found, read, written flat in order, and read back with the place that each row has in its dataset's files."""
+    path = scratch(spark, "dumps")
+    v.write_dumps(spark, sf_dir, path)
+    names_of = ingest.find_files(spark, path, "Trades").select(F.regexp_extract("filePath", "[^/]*$", 0).alias("file"), "dsID")
+    messages = ingest.read_messages(spark, path, "trades", glob="OKX-Trades-*").join(names_of, "file")
+    flat = ingest.flatten_trades(messages).withColumn("dsID", F.concat("instId", F.lit("-400")))
+    datasets.write_flat(flat, f"{path}-flat", "dsID", "timestamp", "tradeId")
+    rows = datasets.with_places(datasets.read_ordered(spark, f"{path}-flat"))
+    return rows.select("dsID", "instId", "timestamp", "tradeId", "place")
 
 
 @query(f"""WITH {NAMES_SQL} SELECT 'OKX' AS exchange, source AS "dataSource", ds AS "dsID", CAST(n AS VARCHAR) AS "startTimestamp", CAST(n + 60 AS VARCHAR) AS "endTimestamp", regexp_replace(ds, '-400$', '') AS "instId" FROM nm""")
@@ -412,7 +439,7 @@ def checksum_report(spark, sf_dir):
 
 @query(f"WITH {SERIES_SQL}, l AS (SELECT *, lag(val) OVER (PARTITION BY series_id ORDER BY ts) AS p FROM ev) SELECT series_id, ts, round(ln(val / p), 9) AS val FROM l WHERE p IS NOT NULL")
 def log_delta(spark, sf_dir):
-    return series.log_delta(v.event_series(spark, sf_dir)).withColumn("val", F.round("val", 9))
+    return series.log_delta(v.event_series(spark, sf_dir), width=WIDTH).withColumn("val", F.round("val", 9))
 
 
 @query(f"""WITH RECURSIVE {SERIES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM ev),
@@ -420,7 +447,7 @@ a AS (SELECT series_id, array_agg(val ORDER BY i) AS xs, array_agg(ts ORDER BY i
 s AS (SELECT series_id, xs, t, 1 AS i, xs[1] AS s FROM a UNION ALL SELECT series_id, xs, t, i + 1, 0.25 * xs[i + 1] + 0.75 * s FROM s WHERE i < len(xs))
 SELECT series_id, t[i] AS ts, round(CAST(s AS DOUBLE), 6) AS val FROM s""")
 def exp_smoothing(spark, sf_dir):
-    return series.exp_smoothing(v.event_series(spark, sf_dir), 0.25, block=500).withColumn("val", F.round("val", 6))
+    return series.exp_smoothing(v.event_series(spark, sf_dir), 0.25, block=WIDTH // 8, width=WIDTH).withColumn("val", F.round("val", 6))
 
 
 def _rolling(fold: str) -> str:
@@ -429,12 +456,12 @@ def _rolling(fold: str) -> str:
 
 @query(_rolling("avg"))
 def rolling_mean(spark, sf_dir):
-    return series.rolling(v.event_series(spark, sf_dir), 8, "mean", block=500).withColumn("val", F.round("val", 6))
+    return series.rolling(v.event_series(spark, sf_dir), 8, "mean", block=WIDTH // 8, width=WIDTH).withColumn("val", F.round("val", 6))
 
 
 @query(_rolling("var_pop"))
 def rolling_var(spark, sf_dir):
-    return series.rolling(v.event_series(spark, sf_dir), 8, "var", block=500).withColumn("val", F.round("val", 6))
+    return series.rolling(v.event_series(spark, sf_dir), 8, "var", block=WIDTH // 8, width=WIDTH).withColumn("val", F.round("val", 6))
 
 
 def _last(fold: str) -> str:
@@ -513,6 +540,16 @@ def points_cells(spark, sf_dir):
     return points.cell_count(_points(spark, sf_dir))
 
 
+@query(f"WITH {_POINTS} SELECT * FROM pp")
+def points_text(spark, sf_dir):
+    """Points written as lines and as a table of text, each read back: those that both hold."""
+    path, own = scratch(spark, "points"), _points(spark, sf_dir)
+    points.write_lines(own, f"{path}-lines")
+    points.write_csv(own, f"{path}-csv")
+    lines, table = points.read_lines(spark, f"{path}-lines"), points.read_csv(spark, f"{path}-csv")
+    return lines.intersectAll(table.select(*lines.columns)).withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
+
+
 # --- streams
 
 

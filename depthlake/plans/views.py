@@ -69,6 +69,25 @@ GRID_SQL = (
 )
 
 
+#: Messages of a dump file, of all instruments.
+DUMP = 5000
+
+
+def write_dumps(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Trade messages as files path/OKX-Trades-<dataset>-<first>-<last>.json, each one object with so many messages at most."""
+    m = messages(spark, sf_dir, "trades")
+    first = F.floor(F.col("n") / DUMP) * DUMP
+    name = F.concat_ws("-", F.lit("OKX-Trades"), F.get("message.data", 0).instId, F.lit("400"), first.cast("string"), (first + DUMP - 1).cast("string"))
+    files = m.groupBy(name.alias("name")).agg(F.to_json(F.struct(F.collect_list("message").alias("data"))).alias("value"))
+    files.write.partitionBy("name").text(f"{path}-unnamed")
+    # Spark doesn't choose names of files: each gets that of its folder
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop(path))
+    for found in files.globStatus(hadoop(f"{path}-unnamed/name=*/part-*")):
+        files.rename(found.getPath(), hadoop(path, found.getPath().getParent().getName().removeprefix("name=") + ".json"))
+
+
 #: Six slices of the events' span, in which a feed arrives, in milliseconds each; one row in so many comes three slices later.
 SLICE, SLICES, DELAYED = 432_000_000, 6, 11
 

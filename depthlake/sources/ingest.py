@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.names import parse_file_name
+from ..operators.book import DAY
+from ..operators.scan import ranked, running
 from ..schemas import MESSAGES
 
 
 def find_files(spark: SparkSession, path: str, source: str | None = None, recursive: bool = False) -> DataFrame:
-    """(filePath, exchange, dataSource, dsID, startTimestamp, endTimestamp) of data files under path; none is an error."""
+    """(filePath, bytes, exchange, dataSource, dsID, startTimestamp, endTimestamp) of data files under path; none is an error. No file is opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     reader = reader.option("pathGlobFilter", f"*-{source}-*" if source else "*-*")
-    files = reader.load(path).select(F.col("path").alias("filePath"), parse_file_name(F.col("path")).alias("m")).select("filePath", "m.*")
+    files = reader.load(path).select(F.col("path").alias("filePath"), F.col("length").alias("bytes"), parse_file_name(F.col("path")).alias("m")).select("filePath", "bytes", "m.*")
     if source:
         files = files.where(F.col("dataSource") == source)
     if files.isEmpty():
@@ -25,11 +27,22 @@ def find_files(spark: SparkSession, path: str, source: str | None = None, recurs
 
 
 def files_per_dataset(files: DataFrame) -> DataFrame:
-    """(dsID, files): each dataset's file paths in the order of their start; numbers, since texts of different length sort otherwise."""
+    """(dsID, files): each dataset's file paths in the order of their start; numbers, since texts of different length sort otherwise. For lists that a row can hold; file_manifest has no such bound."""
     ordered = F.sort_array(F.collect_list(F.struct(F.col("startTimestamp").cast("long").alias("at"), "filePath")))
     return files.groupBy("dsID").agg(F.transform(ordered, lambda x: x.filePath).alias("files"))
 
 
+def file_manifest(files: DataFrame, target: int, width: int = DAY) -> DataFrame:
+    """(dsID, filePath, bytes, ordinal, bin) of find_files: each file's number in its dataset, from 1 by start, and the bin of about target bytes that it falls into, from 0.
+
+    A dataset of any number of files is rows, not one list, and a bin is a task's share of it.
+    """
+    timed = files.select("dsID", "filePath", "bytes", F.col("startTimestamp").cast("long").alias("start"))
+    numbered = ranked(timed, ["dsID"], "start", "ordinal", width, distinct=False, ties=("filePath",))
+    before = running(numbered, ["dsID"], "ordinal", "bytes", "before", inclusive=False)
+    return before.select("dsID", "filePath", "bytes", "ordinal", F.floor(F.coalesce("before", F.lit(0)) / target).cast("long").alias("bin"))
+
+
 def read_messages(spark: SparkSession, path: str, channel: str, glob: str = "*.json", recursive: bool = False) -> DataFrame:
     """(file, n, message): the messages of all files, each an object whose data array holds them, with their place in the file."""
     files = spark.read.schema(f"data array<{MESSAGES[channel]}>").option("multiLine", True).option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).json(path)
@@ -103,6 +116,6 @@ def conform(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
 
 
-def sorted_rows(rows: DataFrame) -> DataFrame:
-    """rows by instrument and time, ties by seq, sorted inside partitions dealt by both."""
-    return rows.repartitionByRange("instId", "timestamp").sortWithinPartitions("instId", "timestamp", "seq")
+def sorted_rows(rows: DataFrame, tie: str = "seq") -> DataFrame:
+    """rows by instrument and time, ties by a column, sorted inside partitions dealt by all three."""
+    return rows.repartitionByRange("instId", "timestamp", tie).sortWithinPartitions("instId", "timestamp", tie)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import INDICATOR
+
 TAGS = ["exchange", "instId", "instType", "level", "side"]
 
 
@@ -34,7 +36,42 @@ def cell_count(points: DataFrame) -> DataFrame:
     return points.agg((F.count(F.lit(1)) * len(points.columns)).alias("cells"))
 
 
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"([,= \\])", r"\\$1")
+
+
 def as_lines(points: DataFrame) -> DataFrame:
-    """(value): measurement,tag=value,... val=number nanoseconds, one line per point."""
-    tags = F.concat_ws(",", "measurement", *(F.concat(F.lit(f"{t}="), F.regexp_replace(F.col(t), "([,= ])", "\\\\$1")) for t in TAGS))
+    """(value): measurement,tag=value,... val=number nanoseconds, one line per point; commas, equal signs, spaces and backslashes in names and tags follow a backslash, a null tag is left out."""
+    tags = F.concat_ws(",", _escaped(F.col("measurement")), *(F.concat(F.lit(f"{t}="), _escaped(F.col(t))) for t in TAGS))
     return points.select(F.concat(tags, F.lit(" val="), F.col("val").cast("string"), F.lit(" "), (F.unix_micros("ts") * 1000).cast("string")).alias("value"))
+
+
+def from_lines(lines: DataFrame) -> DataFrame:
+    """The points of as_lines; what is not such a line is an error."""
+    part = r"((?:\\.|[^,= \\])*)"
+    plain = lambda c: F.regexp_replace(c, r"\\(.)", "$1")
+    tag = lambda t: F.when(F.col("value").rlike(rf"^(?:\\.|[^ \\])*,{t}="), plain(F.regexp_extract("value", f",{t}={part}", 1)))
+    end = r" val=(\S+) (-?\d+)$"
+    good = F.when(F.col("value").rlike(end), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a point: "), "value")).cast("string"))
+    nanos = F.regexp_extract(good, end, 2).cast("long")
+    micros = ((nanos - F.pmod(nanos, F.lit(1000))) / F.lit(1000).cast("decimal(20,0)")).cast("long")
+    return lines.select(plain(F.regexp_extract("value", f"^{part}", 1)).alias("measurement"), *(tag(t).alias(t) for t in TAGS), F.timestamp_micros(micros).alias("ts"), F.regexp_extract(good, end, 1).cast("double").alias("val"))
+
+
+def write_lines(points: DataFrame, path: str) -> None:
+    as_lines(points).write.mode("append").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return from_lines(spark.read.text(path))
+
+
+def write_csv(points: DataFrame, path: str) -> None:
+    """Points as text with a header, times in microseconds since 1970, nulls as \\N."""
+    points.withColumn("ts", F.unix_micros("ts")).write.mode("append").option("header", True).option("nullValue", r"\N").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The points of write_csv."""
+    schema = INDICATOR.replace("ts timestamp", "ts bigint")
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("nullValue", r"\N").csv(path).withColumn("ts", F.timestamp_micros("ts"))

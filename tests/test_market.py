@@ -1,7 +1,9 @@
 """Series, checksums, ingest, names, contracts, points and streams."""
 
+import datetime
 import json
 import math
+import pathlib
 import random
 
 import pandas as pd
@@ -68,6 +70,42 @@ def test_scans_cross_blocks(spark):
     assert vals(series.log_delta(s)) == pytest.approx([math.log(b / a) for a, b in zip(xs, xs[1:])])
 
 
+def test_smoothing_of_many_blocks(spark):
+    """Slow weights that reach over all blocks, fast ones that fade inside one, and series of one row and of whole blocks; a hot series is many groups."""
+    rng = random.Random(6)
+    long = {"hot": 500, "one": 1, "block": 20, "blocks": 40}
+    rows = [(k, i * 1000, rng.random()) for k, n in long.items() for i in range(n)]
+    s = spark.createDataFrame(rows, SERIES)
+    for alpha in (0.001, 0.3, 0.999999):
+        found = {}
+        for r in series.exp_smoothing(s, alpha, block=20, width=7000).collect():
+            found.setdefault(r.series_id, []).append((r.ts, r.val))
+        for k in long:
+            known = []
+            for _, _, x in [r for r in rows if r[0] == k]:
+                known.append(x if not known else alpha * x + (1 - alpha) * known[-1])
+            assert [v for _, v in sorted(found[k])] == pytest.approx(known, abs=1e-12)
+    assert series.exp_smoothing(spark.createDataFrame([], SERIES), 0.5).collect() == []
+
+
+def test_last_of_many(spark, monkeypatch):
+    """Last values by one ranking, and above the limit from the last buckets alone."""
+    rng = random.Random(7)
+    rows = [(k, rng.randint(0, 10**6) * 100 + i, rng.random()) for k, n in (("a", 300), ("b", 40)) for i in range(n)]
+    s = spark.createDataFrame(rows, SERIES)
+    own = {k: [v for _, v in sorted((t, v) for kk, t, v in rows if kk == k)] for k in "ab"}
+    for limit in (1000, 5):
+        monkeypatch.setattr(series, "TOP", limit)
+        found = {r.series_id: r.val for r in series.last_n(s, 30, "mean", width=1_000_000).collect()}
+        assert found == {k: pytest.approx(sum(v[-30:]) / 30) for k, v in own.items()}
+        with pytest.raises(Exception, match="too few rows"):
+            series.last_n(s, 41, "var", width=1_000_000).collect()
+    with pytest.raises(ValueError):
+        series.last_n(s, 3, "median")
+    plan = series.last_n(s, 3, "mean")._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_checksum_text(spark):
     levels = [("bid", "3366.1", "7"), ("bid", "3366", "6"), ("ask", "3366.8", "9"), ("ask", "3368", "8")]
     rows = [("X", 5, i, s, p, z, 1, "snapshot") for i, (s, p, z) in enumerate(levels)]
@@ -200,6 +238,55 @@ def test_datasets_and_points(spark, tmp_path):
     assert (tags, at) == ("TV,exchange=OKX,instId=X,instType=SWAP,level=5,side=ask", "1000000000") and float(value[4:]) == pytest.approx(306.1)
 
 
+def test_points_as_text(spark, tmp_path):
+    odd = [("m,1", "O K=X", "I\\,level=9", None, "5", "a\\", datetime.datetime(2024, 1, 2, 3, 4, 5, 678901), 1.5e-7), ("m", "e", "i", "t", "", "bid", datetime.datetime(1969, 12, 31, 23, 59, 59, 999999), -3.0)]
+    from depthlake.schemas import INDICATOR
+
+    own = spark.createDataFrame(odd, INDICATOR)
+    points.write_lines(own, f"{tmp_path}/lines")
+    assert sorted(map(str, points.read_lines(spark, f"{tmp_path}/lines").collect())) == sorted(map(str, own.collect()))
+    points.write_csv(own, f"{tmp_path}/csv")
+    assert sorted(map(str, points.read_csv(spark, f"{tmp_path}/csv").collect())) == sorted(map(str, own.collect()))
+    with pytest.raises(Exception, match="not a point"):
+        points.from_lines(spark.createDataFrame([("m,exchange=x val=1",)], "value string")).collect()
+
+
+def test_files_after_compaction(spark, tmp_path):
+    """Sizes of the written files against the target: a large folder has as many as its bytes have targets, a small one has one; rows keep their order."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 < 8, "HOT").otherwise("A B").alias("instId"), (F.col("id") * 60_000).alias("timestamp"), F.col("id").alias("seq"), F.rand(3).alias("price"))
+    rows.repartition(20).write.option("compression", "gzip").partitionBy("instId").parquet(f"{tmp_path}/in")
+    before = {r.instId: r for r in datasets.file_sizes(spark, f"{tmp_path}/in").collect()}
+    assert before["HOT"].files == 20
+    for target, most in ((datasets.TARGET_BYTES, {"HOT": 1, "A B": 1}), (100_000, {k: -(-before[k].bytes // 100_000) for k in before})):
+        out = f"{tmp_path}/out-{target}"
+        datasets.compact(spark, f"{tmp_path}/in", out, target=target)
+        assert {r.instId: r.files for r in datasets.file_sizes(spark, out).collect()} == most
+        sizes = [f.stat().st_size for f in pathlib.Path(out).rglob("*.parquet")]
+        assert max(sizes) <= 1.2 * target and (len(sizes) == 2 or min(sizes) > target / 4)
+        found = datasets.with_places(datasets.read_ordered(spark, out), "instId")
+        assert found.count() == 60_000 and found.groupBy("instId", "seq.file").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.min("place").alias("p"), F.max("place").alias("q"), F.count("*").alias("n")).where("n <> q - p + 1").count() == 0
+        ends = [r for r in found.groupBy("instId", "seq.file").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).orderBy("instId", "a").collect()]
+        assert all(x.instId != y.instId or x.b < y.a for x, y in zip(ends, ends[1:]))
+
+
+def test_flat_files_in_order(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab") + " c", rng.randint(0, 50), i) for i in range(2000)]
+    datasets.write_flat(spark.createDataFrame(rows, "dsID string, timestamp long, n long").repartition(5), f"{tmp_path}/flat", "dsID", "timestamp", "n")
+    found = datasets.with_places(datasets.read_ordered(spark, f"{tmp_path}/flat")).collect()
+    for k in ("a c", "b c"):
+        assert [(r.timestamp, r.n) for r in sorted((r for r in found if r.dsID == k), key=lambda r: r.place)] == sorted(r[1:] for r in rows if r[0] == k)
+    assert all(f.name.endswith(".gz.parquet") for f in pathlib.Path(f"{tmp_path}/flat").rglob("*.parquet"))
+    datasets.write_flat(spark.createDataFrame(rows, "dsID string, timestamp long, n long"), f"{tmp_path}/any")
+    assert spark.read.parquet(f"{tmp_path}/any").count() == 2000
+
+
+def test_manifest_of_files(spark):
+    files = spark.createDataFrame([("d", f"/x/{i}", 40, str(90 + i)) for i in range(20)] + [("e", "/y", 500, "5")], "dsID string, filePath string, bytes long, startTimestamp string")
+    found = {(r.dsID, r.ordinal): (r.filePath, r.bin) for r in ingest.file_manifest(files, 100, width=3).collect()}
+    assert found == {("e", 1): ("/y", 0)} | {("d", i + 1): (f"/x/{i}", i * 40 // 100) for i in range(20)}
+
+
 def stored_by_key(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.STORE)
 
