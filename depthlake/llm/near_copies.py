@@ -4,8 +4,8 @@ Two sets of likeness 0.8 differ in about 10 of 64 bits of a SimHash, too many fo
 a fixed permutation, are hashed as in simhash: every part emits its variants of one bit or none, variants are shuffled, and what meets differs in two
 bits of a part at most. Sets of likeness 0.8 meet in a part with probability 0.12, in one of the 32 with 0.98; at 0.85 with 0.998; above that nearly always.
 What links is never the estimate: candidate pairs whose whole fingerprints are near enough are compared set by set.
-Equal sets are one node from the start. Of a variant's nodes all meet the smallest, and each the next. Each node is compared first with that of what it met whose fingerprint is nearest, which joins a large group of
-near copies with one pair a row; then the pairs that components still part are compared.
+Equal sets are one node from the start. Of a variant's nodes all meet the first, and each the next, but those that are known to be of one group. Each node is compared first with that of what it met whose fingerprint is nearest, which joins a large group of
+near copies with one pair a row; then the pairs that components still part are compared. This is done for the first parts, which make most groups known, and then for all others together.
 
 Defined results: words are those of simhash; null text counts as empty; a text of fewer than WORDS words has one shingle, a text without words the empty one;
 rows with a null doc_id all stay, since nothing names them; an empty table gives an empty result; other columns are kept.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import smallest_reachable
 from .shared import filled, partitions, saved, swept, text_of
-from .simhash import met
+from .simhash import TASK_ROWS
 
 WORDS, LEAST = 5, 0.8
 SEED = 42
@@ -83,18 +83,40 @@ def _variants(tables: range):
 
     def emit(batches):
         for batch in batches:
-            node = batch.column("node").to_numpy()
+            node, group = (batch.column(c).to_numpy() for c in ("node", "group"))
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
             for t in tables:
                 part = np.ascontiguousarray(np.packbits(bits[:, PLACES[t]], axis=1, bitorder="little")).view("<u4").astype(np.uint64).ravel()
                 key = (part ^ flips[:, None]) | np.uint64(t << PART)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.tile(node, len(flips)))], names=["variant", "node"])
+                own = [pa.array(np.tile(x, len(flips))) for x in (node, group)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *own], names=["variant", "node", "group"])
 
     return emit
 
 
-def _all(variant: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return np.ones(len(node), bool)
+def _met(batches):
+    """Pairs of nodes of different groups that meet on a variant: each with the first by group and number, and each with the next."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    variant, node, group = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("variant", "node", "group"))
+    del held
+    order = np.argsort(variant)
+    alone = np.ones(len(order) + 1, bool)
+    alone[1:-1] = variant[order[1:]] != variant[order[:-1]]
+    order = order[~(alone[:-1] & alone[1:])]  # most variants have one node
+    variant, node, group = variant[order], node[order], group[order]
+    order = np.lexsort((node, group, variant))
+    variant, node, group = variant[order], node[order], group[order]
+    at = np.arange(len(node))
+    first = np.ones(len(node), bool)
+    first[1:] = variant[1:] != variant[:-1]
+    head = np.maximum.accumulate(np.where(first, at, 0))
+    star, chain = group[head] != group, ~first
+    chain[1:] &= group[1:] != group[:-1]
+    pairs = np.concatenate([np.stack([node[head[star]], node[star]]), np.stack([node[at[chain] - 1], node[chain]])], axis=1)
+    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def _fitting(batches):
@@ -108,14 +130,16 @@ def _fitting(batches):
         yield pa.RecordBatch.from_arrays(own, names=["a", "b", "apart"]).filter(pa.array(fit))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, apart) of a table (node, at, size, print), a < b, that met and may be near; apart: the bits in which they differ. at: a small number of each node, which takes less room in the shuffle."""
+def candidates(nodes: DataFrame, tables: range = range(TABLES)) -> DataFrame:
+    """Pairs (a, b, apart) of a table (node, at, group, size, print), a < b, that met in some parts, are of different groups and may be near; apart: the bits in which they differ.
+    at, group: small numbers of each node and its group, which take less room in the shuffle."""
     spark, rows = nodes.sparkSession, nodes.count() * (PART + 1) * TABLES_AT_ONCE
-    spread = nodes.select(F.col("at").alias("node"), "print").repartition(partitions(spark))
+    spread = nodes.select(F.col("at").alias("node"), "group", "print").repartition(partitions(spark))
+    tasks = max(partitions(spark), -(-rows // TASK_ROWS))
     shares = []
-    for first in range(0, TABLES, TABLES_AT_ONCE):
-        variants = spread.mapInArrow(_variants(range(first, first + TABLES_AT_ONCE)), "variant long, node long")
-        shares.append(saved(met(variants, rows, _all, chains=True), "met"))
+    for first in range(tables.start, tables.stop, TABLES_AT_ONCE):
+        variants = spread.mapInArrow(_variants(range(first, min(first + TABLES_AT_ONCE, tables.stop))), "variant long, node long, group long")
+        shares.append(saved(variants.repartition(tasks, "variant").mapInArrow(_met, "a long, b long").distinct(), "met"))
         swept(spark)
     pairs = functools.reduce(DataFrame.union, shares).distinct()
     side = lambda c: nodes.select(F.col("at").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "print"))).hint("merge")
@@ -150,26 +174,43 @@ def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(text("a").hint("merge"), "a").join(text("b").hint("merge"), "b").select("a", "b", "a_text", "b_text").mapInArrow(_compared, "a long, b long, likeness double")
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between the nodes of rows (node, size, print, text): their components are those of all near pairs among the candidates."""
+def groups(rows: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of rows (node, size, print, text) that are near another: the components of all near pairs among the candidates."""
     nodes = saved(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("print").alias("print")).withColumn("at", F.monotonically_increasing_id()), "nodes")
-    pairs = saved(candidates(nodes), "pairs")
+    known = roots = None
+    for tables in (range(TABLES_AT_ONCE), range(TABLES_AT_ONCE, TABLES)):
+        grouped = nodes.withColumn("group", F.col("at")) if roots is None else _grouped(nodes, roots)
+        pairs = saved(candidates(grouped, tables), "pairs")
+        known, roots = _joined(pairs, known, rows)
+    return roots
+
+
+def _grouped(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes with group: the number of their root."""
+    numbers = nodes.select(F.col("node").alias("root"), F.col("at").alias("group"))
+    known = roots.join(numbers.hint("merge"), "root").select("node", "group")
+    return saved(nodes.join(known.hint("merge"), "node", "left").withColumn("group", F.coalesce("group", "at")), "grouped")
+
+
+def _joined(pairs: DataFrame, known: DataFrame | None, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links known and those of candidate pairs as far as components need them, and the roots that follow."""
+    more = lambda df: df if known is None else known.union(df)
     star = saved(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("first")).select("first.a", "b"), "star")
-    first = saved(compared(star, rows), "likeness")
     near = F.col("likeness") >= LEAST
+    first = saved(more(compared(star, rows).where(near).select("a", "b")), "near")
     # what is still in more than one component
-    roots = saved(smallest_reachable(first.where(near).select("a", "b")), "roots")
+    roots = saved(smallest_reachable(first), "roots")
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")).hint("merge")
     parted = pairs.join(star.hint("merge"), ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    parted = parted.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    rest = compared(saved(parted, "parted"), rows)
-    return saved(first.union(rest).where(near).select("a", "b"), "near")
+    parted = saved(parted.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "parted")
+    found = saved(first.union(compared(parted, rows).where(near).select("a", "b")), "near")
+    return found, saved(smallest_reachable(found), "roots")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest doc_id of its group of near copies."""
     rows = saved(signatures(docs), "signatures")
-    roots = smallest_reachable(links(rows))
+    roots = groups(rows)
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     member = saved(nodes.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id"), "members")
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
