@@ -1,4 +1,9 @@
-"""A corpus pipeline over documents: five stages, each an operator of depthlake.llm on what the one before it kept."""
+"""A corpus pipeline over documents: five stages, each an operator of depthlake.llm on what the one before it kept.
+
+Defined results, in every stage: a null text counts as empty; a null in another column changes nothing; rows with a null doc_id are judged by the quality stage as all others, and stay in
+the near-copy stage; of rows that repeat, or share a text, one stays; a text of any length is taken whole; other columns, of any name, are kept by all stages but the last; an empty
+table gives an empty result.
+"""
 
 from __future__ import annotations
 

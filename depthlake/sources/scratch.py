@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that the innermost cleared() of each thread will delete.
+_made = threading.local()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_made, "paths", None) is not None:
+        _made.paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes what this thread stores in the shared folder meanwhile, for work that leaves nothing that is yet to be read, such as a micro-batch that has written its results."""
+    outer = getattr(_made, "paths", None)
+    _made.paths = []
+    try:
+        yield
+    finally:
+        paths, _made.paths = _made.paths, outer
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

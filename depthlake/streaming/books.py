@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.chunks import parts_of, timeline
-from ..sources.scratch import stored
+from ..sources.scratch import cleared, stored
 
 FEED = ["instId", "timestamp", "seq", "side", "price", "size", "numOrders", "action"]
 #: What a book's stream gives: kind is book for a level after a micro-batch (lvl from 1 for the best, one row of lvl 0 for an empty book), or late for a late row.
@@ -146,6 +146,10 @@ def stream_chunks(books: DataFrame, path: str, chunk_size: int, checkpoint: str,
     _rule(on_late, lateness)
 
     def step(batch: DataFrame, number: int) -> None:
+        with cleared(batch.sparkSession):
+            close_batch(batch, number)
+
+    def close_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = stored(batch.select(*FEED), "batch")
         newest = rows.groupBy("instId").agg(F.max("timestamp").alias("seen"))
@@ -189,8 +193,9 @@ def _close(rows: DataFrame, newest: DataFrame, path: str, number: int, chunk_siz
 def close_chunks(spark: SparkSession, path: str, number: int, chunk_size: int) -> None:
     """Flushes what the last micro-batch (its number) left open; a chunk of one timestamp is left out."""
     left = spark.read.parquet(f"{path}/open/{number}")
-    parts = parts_of(left, timeline(left, chunk_size, None, "replace", "drop"))
-    parts.withColumn("batch", F.lit(number + 1).cast("long")).write.mode("overwrite").parquet(f"{path}/closed/{number + 1}")
+    with cleared(spark):
+        parts = parts_of(left, timeline(left, chunk_size, None, "replace", "drop"))
+        parts.withColumn("batch", F.lit(number + 1).cast("long")).write.mode("overwrite").parquet(f"{path}/closed/{number + 1}")
 
 
 def closed_chunks(spark: SparkSession, path: str) -> DataFrame:

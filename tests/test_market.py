@@ -14,6 +14,7 @@ from depthlake.functions import contracts
 from depthlake.functions.names import inst_of, parse_file_name
 from depthlake.operators import checksum, chunks, indicators, series
 from depthlake.sources import datasets, ingest, points
+from depthlake.sources.scratch import shared_dir
 from depthlake.streaming import books as streams
 
 from .fixtures import case
@@ -287,6 +288,12 @@ def test_manifest_of_files(spark):
     assert found == {("e", 1): ("/y", 0)} | {("d", i + 1): (f"/x/{i}", i * 40 // 100) for i in range(20)}
 
 
+def shared(spark):
+    """The tables in the shared folder."""
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    return {x.name for x in folder.iterdir()} if folder.exists() else set()
+
+
 def stored_by_key(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.STORE)
 
@@ -313,9 +320,12 @@ def test_streams_equal_the_batch(spark, tmp_path):
         own = [r for r in found if r.batch == batch and r.lvl]
         at = max(t for t in states if t < bounds[batch])
         assert {(r.side, r.price): (r["size"], r.numOrders) for r in own} == states[at] and all(r.timestamp == at for r in own)
+    kept = shared(spark)
     run = streams.stream_chunks(stream, f"{tmp_path}/chunks", 10, f"{tmp_path}/c2").trigger(availableNow=True).start()
     run.awaitTermination()
+    before = shared(spark)
     streams.close_chunks(spark, f"{tmp_path}/chunks", run.lastProgress["batchId"], 10)
+    assert shared(spark) == before and not any(x.startswith(("batch-", "told-", "parts-", "final-")) for x in before - kept)
     found = streams.closed_chunks(spark, f"{tmp_path}/chunks").select(*chunks.COLUMNS)
     known = chunks.chunked_dataset(spark.createDataFrame(rows, BOOKS), 10)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, known.select(*chunks.COLUMNS).collect()))
