@@ -315,8 +315,8 @@ class Sorted:
 
 
 FOUND = "doc long, place long, low long, high long, after binary, before binary, window binary"
-#: Suffixes that a bucket should hold, some 20 MB, and windows that a suffix can have.
-BUCKET_ROWS, WINDOWS = 100_000, np.arange(REACH + 1)
+#: Suffixes that a bucket should hold, some 20 MB, anchors that a range by gram should hold, 40 MB, and windows that a suffix can have.
+BUCKET_ROWS, RANGE_ROWS, WINDOWS = 100_000, 1_000_000, np.arange(REACH + 1)
 
 
 def repeats(after: Sorted, before: Sorted, least: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -398,7 +398,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(doc, low, high): ranges of starts of windows that also start earlier, of a table (doc, text) with distinct doc."""
     anchors = saved(texts.mapInArrow(_anchors, ANCHORS), "anchors")
     grams = anchors.where("gram is not null")
-    ranges = max(partitions(texts.sparkSession), -(-grams.count() // BUCKET_ROWS))
+    ranges = max(partitions(texts.sparkSession), -(-grams.count() // RANGE_ROWS))
     by_gram = grams.repartitionByRange(ranges, "gram", "doc", "place")
     shared = by_gram.mapInArrow(_shared_grams, "doc long, place long, low long, high long")
     open_ = shared.groupBy("doc").agg(F.collect_list(F.struct("place", "low", "high")).alias("open"))

@@ -128,5 +128,26 @@ def test_operator_with_nulls_ties_extreme_ids_and_clashing_columns(spark, ids):
     assert sorted(got, key=str) == expected(ordered)
 
 
+def test_ranges_follow_the_anchors(spark, monkeypatch):
+    """With two shuffle partitions and many anchors, a task has no more of them than some ranges', whatever one gram's share."""
+    sizes = spark.sparkContext.accumulator(0)
+    rows = hot(160)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(S, "TOGETHER", 1)
+    monkeypatch.setattr(S, "RANGE_ROWS", 50)
+    plain, most = S._shared_grams, 400
+
+    def counted(batches):
+        held = list(batches)
+        if sum(b.num_rows for b in held) > most:
+            raise ValueError("a range of too many anchors")
+        sizes.add(1)
+        yield from plain(held)
+
+    monkeypatch.setattr(S, "_shared_grams", counted)
+    got = [tuple(r) for r in S.remove_repeats(df).collect()]
+    assert sizes.value > 10 and sorted(got, key=str) == expected(rows)
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
