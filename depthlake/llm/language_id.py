@@ -5,7 +5,7 @@ through a linear layer and a softmax. Both are trained by stochastic gradient de
 LEARN_TEXT, parameters); a fifth of it is held back, sets the temperature of the softmax and, from that, the score below which a prediction is rejected. Since the mean and the
 layer are linear, a model is applied as one table of scores for each subword and language: a few MB, which go to all tasks. Texts are scored whole, where the rows are.
 
-Defined results: a text that is null or has no letter is `und` with score 0 and rejected; a text without known subwords has the most frequent language and a low score; rows without a language, a doc_id or a letter teach nothing; if nothing
+Defined results: a text that is null or has no letter is `und` with score 0 and rejected; a text without known subwords has the first language and the lowest score; rows without a language, a doc_id or a letter teach nothing; if nothing
 teaches, every text is `und`, score 0; of the rows of one doc_id and language the smallest text teaches, and each is predicted; ties go to the language that comes first; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import smallest_reachable
-from .shared import filled, partitions, saved, swept, text_of
+from .shared import dropped, filled, partitions, saved, swept, text_of
 from .simhash import TASK_ROWS
 
 WORDS, LEAST = 5, 0.8
@@ -30,6 +30,8 @@ SEED = 42
 BITS, TABLES, PART, TABLES_AT_ONCE = 1024, 32, 32, 4
 #: Bits in which near sets differ, at most: three standard deviations over the mean at LEAST, which all but one in 700 pairs of that likeness keep, and more of the nearer ones.
 APART = 189
+#: The group of a node that has none but itself, the same for all, so that the shuffle compresses it.
+ALONE = -1
 #: Shingles whose bits are counted at a time, and sets that a worker remembers while it compares.
 RUN, MOST_SETS = 4096, 64
 
@@ -106,6 +108,7 @@ def _met(batches):
     alone[1:-1] = variant[order[1:]] != variant[order[:-1]]
     order = order[~(alone[:-1] & alone[1:])]  # most variants have one node
     variant, node, group = variant[order], node[order], group[order]
+    group = np.where(group == ALONE, node, group)
     order = np.lexsort((node, group, variant))
     variant, node, group = variant[order], node[order], group[order]
     at = np.arange(len(node))
@@ -132,9 +135,9 @@ def _fitting(batches):
 
 def candidates(nodes: DataFrame, tables: range = range(TABLES)) -> DataFrame:
     """Pairs (a, b, apart) of a table (node, at, group, size, print), a < b, that met in some parts, are of different groups and may be near; apart: the bits in which they differ.
-    at, group: small numbers of each node and its group, which take less room in the shuffle."""
+    at, group: small numbers of each node and its group, which take less room in the shuffle. The result is a written table."""
     spark, rows = nodes.sparkSession, nodes.count() * (PART + 1) * TABLES_AT_ONCE
-    spread = nodes.select(F.col("at").alias("node"), "group", "print").repartition(partitions(spark))
+    spread = nodes.select(F.col("at").alias("node"), F.when(F.col("group") == F.col("at"), ALONE).otherwise(F.col("group")).alias("group"), "print").repartition(partitions(spark))
     tasks = max(partitions(spark), -(-rows // TASK_ROWS))
     shares = []
     for first in range(tables.start, tables.stop, TABLES_AT_ONCE):
@@ -143,7 +146,10 @@ def candidates(nodes: DataFrame, tables: range = range(TABLES)) -> DataFrame:
         swept(spark)
     pairs = functools.reduce(DataFrame.union, shares).distinct()
     side = lambda c: nodes.select(F.col("at").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "print"))).hint("merge")
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_fitting, "a long, b long, apart long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart")
+    fitting = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_fitting, "a long, b long, apart long")
+    found = saved(fitting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart"), "pairs")
+    dropped(*shares)
+    return found
 
 
 def _compared(batches):
@@ -180,8 +186,7 @@ def groups(rows: DataFrame) -> DataFrame:
     known = roots = None
     for tables in (range(TABLES_AT_ONCE), range(TABLES_AT_ONCE, TABLES)):
         grouped = nodes.withColumn("group", F.col("at")) if roots is None else _grouped(nodes, roots)
-        pairs = saved(candidates(grouped, tables), "pairs")
-        known, roots = _joined(pairs, known, rows)
+        known, roots = _joined(candidates(grouped, tables), known, rows)
     return roots
 
 
