@@ -5,7 +5,8 @@ a fixed permutation, are hashed as in simhash: every part emits its variants of
 bits of a part at most. Sets of likeness 0.8 meet in a part with probability 0.12, in one of the 32 with 0.98; at 0.85 with 0.998; above that nearly always.
 What links is never the estimate: candidate pairs whose whole fingerprints are near enough are compared set by set.
 Equal sets are one node from the start. Of a variant's nodes all meet the first, and each the next, but those that are known to be of one group. Each node is compared first with that of what it met whose fingerprint is nearest, which joins a large group of
-near copies with one pair a row; then the pairs that components still part are compared. This is done for the first parts, which make most groups known, and then for all others together.
+near copies with one pair a row; then the pairs that components still part are compared. This is done for the first part, which makes most groups known, and then for ever more parts together (STEPS).
+Large groups come first on a variant, so its first node is one of theirs and only nodes outside meet it; pairs of sets whose sizes alone rule out the likeness, and pairs of earlier parts, are no candidates.
 
 Defined results: words are those of simhash; null text counts as empty; a text of fewer than WORDS words has one shingle, a text without words the empty one;
 rows with a null doc_id all stay, since nothing names them; an empty table gives an empty result; other columns are kept.
@@ -28,10 +29,14 @@ WORDS, LEAST = 5, 0.8
 SEED = 42
 #: Bits of a set's fingerprint; parts of them, and bits of a part; parts whose variants are on disk at a time.
 BITS, TABLES, PART, TABLES_AT_ONCE = 1024, 32, 32, 4
+#: Parts after which groups are made known anew.
+STEPS = (1, 4, 16, TABLES)
 #: Bits in which near sets differ, at most: three standard deviations over the mean at LEAST, which all but one in 700 pairs of that likeness keep, and more of the nearer ones.
 APART = 189
 #: The group of a node that has none but itself, the same for all, so that the shuffle compresses it.
 ALONE = -1
+#: Where a group's number has the logarithm of its nodes, above the numbers of monotonically_increasing_id for 2^19 partitions.
+CLASS = 52
 #: Shingles whose bits are counted at a time, and sets that a worker remembers while it compares.
 RUN, MOST_SETS = 4096, 64
 
@@ -85,39 +90,40 @@ def _variants(tables: range):
 
     def emit(batches):
         for batch in batches:
-            node, group = (batch.column(c).to_numpy() for c in ("node", "group"))
+            node, group, size = (batch.column(c).to_numpy() for c in ("node", "group", "size"))
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
             for t in tables:
                 part = np.ascontiguousarray(np.packbits(bits[:, PLACES[t]], axis=1, bitorder="little")).view("<u4").astype(np.uint64).ravel()
                 key = (part ^ flips[:, None]) | np.uint64(t << PART)
-                own = [pa.array(np.tile(x, len(flips))) for x in (node, group)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *own], names=["variant", "node", "group"])
+                own = [pa.array(np.tile(x, len(flips))) for x in (node, group, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *own], names=["variant", "node", "group", "size"])
 
     return emit
 
 
 def _met(batches):
-    """Pairs of nodes of different groups that meet on a variant: each with the first by group and number, and each with the next."""
+    """Pairs of nodes of different groups that meet on a variant, and whose sizes near sets may have: each with the first by group and number, and each with the next."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    variant, node, group = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("variant", "node", "group"))
+    variant, node, group, size = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("variant", "node", "group", "size"))
     del held
     order = np.argsort(variant)
     alone = np.ones(len(order) + 1, bool)
     alone[1:-1] = variant[order[1:]] != variant[order[:-1]]
     order = order[~(alone[:-1] & alone[1:])]  # most variants have one node
-    variant, node, group = variant[order], node[order], group[order]
+    variant, node, group, size = (x[order] for x in (variant, node, group, size))
     group = np.where(group == ALONE, node, group)
     order = np.lexsort((node, group, variant))
-    variant, node, group = variant[order], node[order], group[order]
+    variant, node, group, size = (x[order] for x in (variant, node, group, size))
     at = np.arange(len(node))
     first = np.ones(len(node), bool)
     first[1:] = variant[1:] != variant[:-1]
     head = np.maximum.accumulate(np.where(first, at, 0))
     star, chain = group[head] != group, ~first
     chain[1:] &= group[1:] != group[:-1]
-    pairs = np.concatenate([np.stack([node[head[star]], node[star]]), np.stack([node[at[chain] - 1], node[chain]])], axis=1)
+    pairs = np.concatenate([np.stack([head[star], at[star]]), np.stack([at[chain] - 1, at[chain]])], axis=1)
+    pairs = node[pairs[:, size[pairs].min(axis=0) >= LEAST * size[pairs].max(axis=0)]]
     pairs = np.unique(np.sort(pairs, axis=0), axis=1)
     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
@@ -133,23 +139,26 @@ def _fitting(batches):
         yield pa.RecordBatch.from_arrays(own, names=["a", "b", "apart"]).filter(pa.array(fit))
 
 
-def candidates(nodes: DataFrame, tables: range = range(TABLES)) -> DataFrame:
+def candidates(nodes: DataFrame, tables: range = range(TABLES), earlier: tuple[DataFrame, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, apart) of a table (node, at, group, size, print), a < b, that met in some parts, are of different groups and may be near; apart: the bits in which they differ.
-    at, group: small numbers of each node and its group, which take less room in the shuffle. The result is a written table."""
+    at, group: small numbers of each node and its group, which take less room in the shuffle. earlier: tables of pairs of numbers that met before and aren't wanted again.
+    The results are written tables: these pairs, and those of numbers that met for the first time."""
     spark, rows = nodes.sparkSession, nodes.count() * (PART + 1) * TABLES_AT_ONCE
-    spread = nodes.select(F.col("at").alias("node"), F.when(F.col("group") == F.col("at"), ALONE).otherwise(F.col("group")).alias("group"), "print").repartition(partitions(spark))
+    spread = nodes.select(F.col("at").alias("node"), F.when(F.col("group") == F.col("at"), ALONE).otherwise(F.col("group")).alias("group"), F.col("size").cast("int").alias("size"), "print").repartition(partitions(spark))
     tasks = max(partitions(spark), -(-rows // TASK_ROWS))
     shares = []
     for first in range(tables.start, tables.stop, TABLES_AT_ONCE):
-        variants = spread.mapInArrow(_variants(range(first, min(first + TABLES_AT_ONCE, tables.stop))), "variant long, node long, group long")
+        variants = spread.mapInArrow(_variants(range(first, min(first + TABLES_AT_ONCE, tables.stop))), "variant long, node long, group long, size int")
         shares.append(saved(variants.repartition(tasks, "variant").mapInArrow(_met, "a long, b long").distinct(), "met"))
         swept(spark)
     pairs = functools.reduce(DataFrame.union, shares).distinct()
+    if earlier:
+        pairs = pairs.join(functools.reduce(DataFrame.union, earlier).hint("merge"), ["a", "b"], "left_anti")
+    pairs = saved(pairs, "new")
+    dropped(*shares)
     side = lambda c: nodes.select(F.col("at").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "size", "print"))).hint("merge")
     fitting = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_fitting, "a long, b long, apart long")
-    found = saved(fitting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart"), "pairs")
-    dropped(*shares)
-    return found
+    return saved(fitting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart"), "pairs"), pairs
 
 
 def _compared(batches):
@@ -184,15 +193,21 @@ def groups(rows: DataFrame) -> DataFrame:
     """(node, root) of the nodes of rows (node, size, print, text) that are near another: the components of all near pairs among the candidates."""
     nodes = saved(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("print").alias("print")).withColumn("at", F.monotonically_increasing_id()), "nodes")
     known = roots = None
-    for tables in (range(TABLES_AT_ONCE), range(TABLES_AT_ONCE, TABLES)):
+    earlier: tuple[DataFrame, ...] = ()
+    for first, last in zip((0, *STEPS), STEPS):
         grouped = nodes.withColumn("group", F.col("at")) if roots is None else _grouped(nodes, roots)
-        known, roots = _joined(candidates(grouped, tables), known, rows)
+        pairs, met = candidates(grouped, range(first, last), earlier)
+        known, roots = _joined(pairs, known, rows)
+        earlier += (met,)
+    dropped(*earlier)
     return roots
 
 
 def _grouped(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """nodes with group: the number of their root."""
-    numbers = nodes.select(F.col("node").alias("root"), F.col("at").alias("group"))
+    """nodes with group: the number of their root, less as many times 2^CLASS as the logarithm of the group's nodes, which puts larger groups first."""
+    counts = roots.groupBy("root").agg(F.count("*").alias("n"))
+    number = F.col("at") - F.shiftleft(F.floor(F.log2("n")).cast("long"), CLASS)
+    numbers = nodes.select(F.col("node").alias("root"), "at").join(counts.hint("merge"), "root").select("root", number.alias("group"))
     known = roots.join(numbers.hint("merge"), "root").select("node", "group")
     return saved(nodes.join(known.hint("merge"), "node", "left").withColumn("group", F.coalesce("group", "at")), "grouped")
 

@@ -51,3 +51,18 @@ def test_rows_without_doc_id_stay(spark):
     found = near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, found), key=str) == sorted([rows[0], rows[1], rows[3]], key=str)
     assert near_copies.drop_near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_strangers_meet_a_large_group_once(spark):
+    """20 nodes that are in no group and a group of 200 with larger numbers, all on the same variants: two pairs for each of the 20, not one for each of the 200; sets of half the size meet none;
+    pairs that met before aren't met again."""
+    bits = random.Random(3).randbytes(near_copies.BITS // 8)
+    rows = [(1000 + i, i, 100 if i < 220 else 50, bits) for i in range(221)]
+    nodes = spark.createDataFrame(rows, "node long, at long, size long, print binary")
+    roots = spark.createDataFrame([(1000 + i, 1020) for i in range(20, 220)], "node long, root long")
+    found, met = near_copies.candidates(near_copies._grouped(nodes, roots), range(1))
+    pairs = {tuple(sorted((r.a, r.b))) for r in found.collect()}
+    assert len(pairs) == met.count() <= 40
+    assert {a for a, b in pairs if a < 1020 <= b} == set(range(1000, 1020))
+    again, new = near_copies.candidates(near_copies._grouped(nodes, roots), range(2), (met,))
+    assert again.count() == new.count() == 0
