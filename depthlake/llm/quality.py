@@ -100,15 +100,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through margins, by Newton's method with smoothed targets."""
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
+def calibrate(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through margins, each counted so many times, by Newton's method with smoothed targets."""
+    weights = np.ones(len(labels)) if weights is None else weights
+    n1, n0 = (weights * labels).sum(), (weights * (1 - labels)).sum()
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x, theta = np.stack([margins, np.ones(len(margins))], 1), np.array([1.0, 0.0])
     for _ in range(50):
         p = sigmoid(x @ theta)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target))
+        h = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weights * (p - target)))
         theta = theta - np.clip(step, -2, 2)
         if abs(step).max() < 1e-6:
             break

@@ -286,6 +286,16 @@ def test_thresholds_by_language(spark):
     assert all(r.toxic_for_lang == (r.score >= net.thresholds[lang[r.doc_id]]) for r in found if r.doc_id not in (3, None))
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """A start from 40 rows; thresholds and words come from all others too."""
+    rows = [(i, f"the river {i} walks" + " villain" * (i % 3 == 0)) for i in range(500)]
+    known = labels(spark, [(i, int(i % 3 == 0)) for i in range(500)], "toxic")
+    net = toxicity.trained(table(spark, rows), known, 40)
+    assert set(net.thresholds) == {"", "en"}
+    start = toxicity._started(table(spark, rows), known, 40)
+    assert (net.embedding != start.embedding).any()
+
+
 # --- secrets
 
 
