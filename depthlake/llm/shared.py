@@ -52,6 +52,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_of(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for so many rows, for coalesce: of about so many rows each, two for each core at least, and no more than shuffles have."""
+    return max(1, min(partitions(spark), max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))))
+
+
 def smallest_keys(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """The rows with the smallest keys (longs from 0 up): at most so many and, where keys tell them apart, at most a hundredth fewer.
 

@@ -66,3 +66,40 @@ def test_strangers_meet_a_large_group_once(spark):
     assert {a for a, b in pairs if a < 1020 <= b} == set(range(1000, 1020))
     again, new = near_copies.candidates(near_copies._grouped(nodes, roots), range(2), (met,))
     assert again.count() == new.count() == 0
+
+
+def test_busy_nodes_drop_strangers_before_the_join(spark):
+    """302 nodes that share the first 8 parts; those that have met many bring their fingerprints, so of all that meet in parts 2 to 8 only the near pair reaches the join."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (302, near_copies.BITS), np.uint8)
+    bits[:, near_copies.PLACES[:8].ravel()] = bits[0, near_copies.PLACES[:8].ravel()]
+    bits[300:] = bits[0]  # nodes 300 and 301 are one fingerprint, and far from the others but 0
+    rows = [(1000 + i, i, 100, np.packbits(b).tobytes()) for i, b in enumerate(bits)]
+    nodes = spark.createDataFrame(rows, "node long, at long, size long, print binary")
+    alone = spark.createDataFrame([], "node long, root long")
+    earlier = spark.createDataFrame([(0, i) for i in range(1, 302)] * 3, "a long, b long")  # all of them have met more than BUSY
+    grouped = near_copies._grouped(nodes, alone, (earlier,))
+    assert grouped.where("busy").count() == 302
+    found, new = near_copies.candidates(grouped, range(1, 8), (earlier,))
+    assert {(r.a, r.b) for r in new.collect()} == {(300, 301)}
+    assert {(r.a, r.b, r.apart) for r in found.collect()} == {(1300, 1301, 0)}
+
+
+def test_small_tables_take_few_tasks(spark):
+    """Links of few rows are written by so many tasks, not by one for each partition of a shuffle."""
+    from depthlake.llm.components import smallest_reachable
+
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        few = near_copies.tasks_of(spark, 40, near_copies.LINKS)
+        assert few < 16 == near_copies.tasks_of(spark, 10**9, near_copies.LINKS)
+        roots = smallest_reachable(spark.createDataFrame([(1, i) for i in range(2, 42)], "a long, b long"), few)
+        assert {tuple(r) for r in roots.collect()} == {(i, 1) for i in range(1, 42)}
+        assert len(roots.inputFiles()) <= few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
