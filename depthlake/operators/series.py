@@ -5,8 +5,12 @@ A table without rows has no series and gives none; a series that is too short fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from .scan import HOUR, ranked, with_previous
 MINUTE = 60_000
 #: Rows of a block in scans that go by row number; rows up to which Spark keeps the best of a group before its shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 BLOCK, TOP = 10_000, 1000
+#: Weights of smoothing fade no further, so that a value that is infinite or NaN stays in a series however long it is.
+FAINT = 5e-324
 
 
 def _guarded(df: DataFrame, least: int, what: str) -> DataFrame:
@@ -32,54 +38,71 @@ def log_delta(series: DataFrame, width: int = HOUR) -> DataFrame:
     return found.where("prev_val is not null").select("series_id", "ts", F.ln(F.col("val") / F.col("prev_val")).alias("val"))
 
 
-def smoothed(values: np.ndarray, alpha: float) -> np.ndarray:
-    """s[0] = values[0], s[i] = values[i] + (1 - alpha) s[i - 1], by doubling: after each pass a value sums up twice as many of those before it."""
-    out, step, weight = values.astype(float), 1, 1 - alpha
-    while step < len(out) and weight:
-        out[step:] = out[step:] + weight * out[:-step]
-        step, weight = 2 * step, weight * weight
+def smoothed(values: np.ndarray, begins: np.ndarray, weight: float) -> np.ndarray:
+    """s[i] = values[i] + weight s[i - 1], anew from each i that begins, by doubling: after each pass a value sums up twice as many of those before it."""
+    at = np.arange(len(values))
+    since = at - np.maximum.accumulate(np.where(begins, at, 0))
+    out, step = values.astype(float), 1
+    while step <= since.max(initial=0):
+        out[step:] = np.where(since[step:] >= step, out[step:] + weight * out[:-step], out[step:])
+        step, weight = 2 * step, max(weight * weight, FAINT)
     return out
 
 
-def composed(rules: DataFrame) -> DataFrame:
-    """(series_id, block, value): what affine rules (series_id, block, a, b), from block 0 whose a is 0 on without a gap, make of a series up to the end of each block.
+def _smoothing(weight: float):
+    """For mapInArrow: rows in order with x, begins and ahead; x becomes the smoothed value, and rows that are ahead of a block are left out. Any number of blocks goes through one batch, and a block through any number of batches."""
+
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, begins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "begins"))
+            values = values.copy()
+            if not begins[0]:
+                values[0] += weight * last
+            values = smoothed(values, begins, weight)
+            last = values[-1]
+            done = batch.set_column(batch.schema.get_field_index("x"), "x", pa.array(values)).filter(pc.invert(batch.column("ahead")))
+            yield done.select([c for c in done.schema.names if c not in ("begins", "ahead")])
+
+    return smooth
+
+
+def scanned(rows: DataFrame, weight: float, block: int, longest: int) -> DataFrame:
+    """rows (series_id, i, x and others; i from 1 without a gap) with x plus weight times the result of the row before, in place of x. longest: the rows of the longest series.
 
-    By doubling: each round joins a rule with the one that ends where it begins, so rules span twice as many blocks. It ends when none depends on what is before it, at
-    the logarithm of the blocks at most, and sooner where weights have faded to zero.
+    What a block of rows hands on, as if nothing came before it, is a series with a row for each block and the weight of a whole block. It is scanned in the same way,
+    in blocks of BLOCK, and its results go ahead of the blocks that follow. So all levels together cost little more than the rows do.
     """
-    rules, step = stored(rules, "rules"), 1
-    while not rules.where("a <> 0").isEmpty():
-        before = rules.select("series_id", (F.col("block") + step).alias("block"), F.col("a").alias("a0"), F.col("b").alias("b0"))
-        a, b = F.col("a") * F.col("a0"), F.col("a") * F.col("b0") + F.col("b")
-        rules = stored(rules.join(before, ["series_id", "block"], "left").select("series_id", "block", F.coalesce(a, "a").alias("a"), F.coalesce(b, "b").alias("b")), "rules")
-        step *= 2
-    return rules.select("series_id", "block", F.col("b").alias("value"))
+    names, types = rows.columns, rows.schema
+    rows = rows.withColumn("block", F.floor((F.col("i") - 1) / block).cast("long")).withColumn("ahead", F.lit(False))
+    if longest > block:
+        # weights fade with distance to the block's end. A last block that is not full hands on to none
+        faded = F.col("x") * F.greatest(F.pow(F.lit(weight), (F.col("block") + 1) * block - F.col("i")), F.lit(FAINT))
+        ends = rows.groupBy("series_id", "block").agg(F.sum(faded).alias("x")).select("series_id", (F.col("block") + 1).alias("i"), "x")
+        ends = scanned(stored(ends, "ends"), max(weight**block, FAINT), BLOCK, -(-longest // block))
+        starts = ends.select("series_id", F.col("i").alias("block"), (F.col("i") * block).alias("i"), "x", F.lit(True).alias("ahead"))
+        rows = rows.unionByName(starts, allowMissingColumns=True)
+    rows = rows.repartition("series_id", "block").sortWithinPartitions("block", "series_id", "i")
+    begins = (F.col("ahead") | (F.col("i") == 1)).alias("begins")
+    return rows.select(*names, begins, "ahead").mapInArrow(_smoothing(weight), types)
 
 
 def exp_smoothing(series: DataFrame, alpha: float, block: int = BLOCK, width: int = HOUR) -> DataFrame:
-    """(series_id, ts, val): s0 = x0, s = alpha x + (1 - alpha) s before, in double.
+    """(series_id, ts, val): s0 = x0, s = alpha x + (1 - alpha) s before, in double; null from a value that is null or NaN on.
 
-    A block of rows maps the smoothed value before it to the one at its end by an affine rule; rules are composed over blocks by doubling, and each block is
-    smoothed from its own start. No task has more rows than a block's, whatever a series holds.
+    Each block of rows is smoothed from its own start, so a hot series is as many tasks' as it has blocks; starts come from what blocks hand on. Tasks go through
+    their blocks batch by batch, so blocks of few rows cost little more than large ones.
     """
     if not 0 < alpha < 1:
         raise ValueError(f"alpha must be between 0 and 1, not {alpha}")
-    rows = ranked(series.select("series_id", "ts", F.col("val").cast("double").alias("val")), ["series_id"], "ts", "i", width, distinct=False)
-    rows = stored(rows.withColumn("block", F.floor((F.col("i") - 1) / block).cast("long")), "ranked")
-    # weights fade with distance to the block's end; the first value of all has weight 1. A last block that is not full hands on to none
-    weight = F.pow(F.lit(1 - alpha), (F.col("block") + 1) * block - F.col("i")) * F.when(F.col("i") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    keeps = F.when(F.col("block") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(1 - alpha), F.lit(block)))
-    rules = rows.groupBy("series_id", "block").agg(F.sum(F.col("val") * weight).alias("b")).select("series_id", "block", keeps.alias("a"), "b")
-    starts = composed(rules).select("series_id", (F.col("block") + 1).alias("block"), F.col("value").alias("start"))
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("i")
-        values = alpha * group.val.to_numpy()
-        values[0] = group.val.iloc[0] if group.i.iloc[0] == 1 else values[0] + (1 - alpha) * group.start.iloc[0]
-        return group[["series_id", "ts"]].assign(val=smoothed(values, alpha))
-
-    schema = f"series_id {series.schema['series_id'].dataType.simpleString()}, ts bigint, val double"
-    return rows.join(starts, ["series_id", "block"], "left").groupBy("series_id", "block").applyInPandas(replay, schema)
+    rows = stored(ranked(series.select("series_id", "ts", F.col("val").cast("double").alias("val")), ["series_id"], "ts", "i", width, distinct=False), "ranked")
+    # the first value of all has weight 1. NaN stands for null, since sums leave nulls out
+    x = F.coalesce(F.when(F.col("i") == 1, F.col("val")).otherwise(alpha * F.col("val")), F.lit(float("nan")))
+    longest = rows.agg(F.max("i")).first()[0] or 0
+    found = scanned(rows.select("series_id", "i", "ts", x.alias("x")), 1 - alpha, block, longest)
+    return found.select("series_id", "ts", F.when(~F.isnan("x"), F.col("x")).alias("val"))
 
 
 def rolling(series: DataFrame, n: int, kind: str, block: int = BLOCK, width: int = HOUR) -> DataFrame:

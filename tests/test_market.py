@@ -89,6 +89,43 @@ def test_smoothing_of_many_blocks(spark):
     assert series.exp_smoothing(spark.createDataFrame([], SERIES), 0.5).collect() == []
 
 
+def test_smoothing_costs_little_per_block(spark, monkeypatch):
+    """Blocks of few rows go through Python many at once, and what is stored of them is hardly more than a row each, whatever the levels."""
+    sizes, store = [], series.stored
+    monkeypatch.setattr(series, "stored", lambda df, name: sizes.append((found := store(df, name)).count()) or found)
+    smooth = series.exp_smoothing(made(spark, *range(2000), step=100), 0.001, block=4, width=7000)
+    assert sizes[0] == 2000 and 500 <= sum(sizes[1:]) <= 600
+    assert "InPandas" not in smooth._jdf.queryExecution().toString()
+
+
+def test_smoothing_by_levels_and_batches(spark, monkeypatch):
+    """Blocks of blocks, batches that begin and end inside blocks, values that are null, NaN or infinite, and rows in no order."""
+    monkeypatch.setattr(series, "BLOCK", 9)
+    odd = {"null": (41, None), "nan": (300, math.nan), "infinite": (7, math.inf), "first": (0, None)}
+    rng, long = random.Random(8), {"hot": 400, "one": 1, "null": 310, "nan": 310, "infinite": 3000, "first": 20}
+    own = {k: [rng.random() * 100 - 50 for _ in range(n)] for k, n in long.items()}
+    for k, (at, x) in odd.items():
+        own[k][at] = x
+    rows = [(k, i * 1000, x) for k, xs in own.items() for i, x in enumerate(xs)]
+    s = spark.createDataFrame(rng.sample(rows, len(rows)), SERIES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for alpha, block in ((0.01, 1), (0.3, 10_000), (0.999999, 20)):
+            found = {}
+            for r in series.exp_smoothing(s, alpha, block=block, width=7000).collect():
+                found.setdefault(r.series_id, []).append((r.ts, r.val))
+            for k, xs in own.items():
+                known = []
+                for x in xs:
+                    gone = x is None or math.isnan(x) or (known and known[-1] is None)
+                    known.append(None if gone else x if not known else alpha * x + (1 - alpha) * known[-1])
+                values = [v for _, v in sorted(found[k])]
+                assert [v is None for v in values] == [v is None for v in known], (k, alpha, block)
+                assert [v for v in values if v is not None] == pytest.approx([v for v in known if v is not None], abs=1e-11), (k, alpha, block)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_last_of_many(spark, monkeypatch):
     """Last values by one ranking, and above the limit from the last buckets alone."""
     rng = random.Random(7)
